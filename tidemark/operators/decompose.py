@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.joins import null_safe_join
-from ..plans.positions import Frames, Layout, _resolve, add_positions, apply_windows, halo_chunks
+from ..plans.positions import Frames, Layout, add_positions, apply_windows, halo_chunks, resolve
 from ..plans.quantiles import exact_quantiles
 from ..plans.session import materialize
 
@@ -131,7 +131,7 @@ def stl(
     q_trend = _odd_above(1.5 * period / (1 - 1.5 / seasonal))
     q_low = period + 1 if period % 2 == 0 else period + 2
     reach = inner * (period * (seasonal // 2 + 2) + q_low // 2 + q_trend // 2 + 2)
-    layout = _resolve(df, keys, ts, layout)
+    layout = resolve(df, keys, ts, layout)
 
     base = add_positions(df.select(*keys, ts, F.col(value).cast("double").alias("observed")), keys, ts, layout=layout, total="n")
     state = base.withColumns({"seasonal": F.lit(0.0), "trend": F.lit(0.0), "weight": F.lit(1.0)})

@@ -62,15 +62,15 @@ def _div(micros: Column, width: int) -> Column:
 
 
 def _with_order(df: DataFrame, ts: str, tie: Sequence[str], layout: Layout) -> tuple[DataFrame, list[str]]:
-    """Add the tie-break column when the caller named none; equal rows are interchangeable."""
-    if tie:
-        return df, [ts, *tie]
-    return df.withColumn("__tie", F.xxhash64(*df.columns)), [ts, "__tie"]
+    """Order columns. ``tie`` tells equal time stamps apart; an overfull instant orders by its hash first."""
+    if layout.tie_bits:
+        return df.withColumn("__tie", F.xxhash64(*tie)), [ts, "__tie", *tie]
+    return df, [ts, *tie]
 
 
 def _slices(df: DataFrame, ts: str, layout: Layout) -> tuple[DataFrame, list[str]]:
     out = df.withColumn("__slice", _div(epoch_micros(df, ts), layout.width))
-    if layout.tie_bits and "__tie" in df.columns:
+    if layout.tie_bits:
         return out.withColumn("__sub", F.shiftright("__tie", 64 - layout.tie_bits)), ["__slice", "__sub"]
     return out, ["__slice"]
 
@@ -80,6 +80,7 @@ def choose_layout(
     keys: Sequence[str] = (),
     ts: str = "ts",
     *,
+    tie: Sequence[str] = (),
     max_rows: int = 1_000_000,
     chunk_rows: int = 65_536,
 ) -> Layout:
@@ -110,22 +111,38 @@ def choose_layout(
         top = df.groupBy(*keys, _div(micros, width).alias("__g")).count().agg(F.max("count")).first()[0] or 0
         if top <= max_rows:
             return Layout("sliced", width, chunk_rows)
+    if not tie:
+        raise ValueError(f"{top} rows of a series share one time stamp: name columns that tell them apart in `tie`")
     return Layout("sliced", 1, chunk_rows, tie_bits=min(20, (top // max_rows).bit_length() + 1))
 
 
-def _resolve(df: DataFrame, keys: Sequence[str], ts: str, layout: Layout | None) -> Layout:
-    layout = layout or choose_layout(df, keys, ts)
+def resolve(df: DataFrame, keys: Sequence[str], ts: str, layout: Layout | None, tie: Sequence[str] = ()) -> Layout:
+    layout = layout or choose_layout(df, keys, ts, tie=tie)
     if layout.mode == "keyed" and not keys:
         raise ValueError("a keyed layout needs keys: one global series must be sliced")
     return layout
 
 
-def _marked(rows: DataFrame, markers: DataFrame, keys: Sequence[str], slices: Sequence[str], order: Sequence[str]):
-    """Union slice markers in front of the rows of their slice; returns rows and the ordered window."""
-    both = rows.withColumn("__mark", F.lit(1)).unionByName(
-        markers.withColumn("__mark", F.lit(0)), allowMissingColumns=True
-    )
-    return both, Window.partitionBy(*keys, *slices).orderBy("__mark", *order)
+def _marked(
+    rows: DataFrame, markers: DataFrame, keys: Sequence[str], slices: Sequence[str], order: Sequence[str], payload: Sequence[str]
+) -> tuple[DataFrame, WindowSpec]:
+    """Union slice markers in front of the rows of their slice; returns rows and the ordered window.
+
+    What a row carries travels in the struct ``__row`` and what a marker carries in ``__in``: a
+    union padded with one null per column would make constraint propagation grow with the square of
+    the table's width.
+    """
+    sort = [c for c in order if c not in keys]
+    carried = [c for c in markers.columns if c not in keys and c not in slices]
+    packed = rows.select(*keys, *slices, *sort, F.struct(F.lit(1).alias("__mark"), *payload).alias("__row"))
+    marks = markers.select(*keys, *slices, F.struct(*carried).alias("__in"))
+    both = packed.unionByName(marks, allowMissingColumns=True)
+    # False sorts first: the marker row has no payload.
+    return both, Window.partitionBy(*keys, *slices).orderBy(F.col("__row").isNotNull(), *order)
+
+
+def _unpacked(columns: Sequence[str], payload: Sequence[str]) -> list[Column]:
+    return [F.col("__row")[c].alias(c) if c in payload else F.col(c) for c in columns]
 
 
 def add_positions(
@@ -140,11 +157,14 @@ def add_positions(
 ) -> DataFrame:
     """Zero-based position of every row in its series, ordered by ``ts`` and ``tie``.
 
+    ``keys``, ``ts`` and ``tie`` together should identify a row; without ``tie`` the order of equal
+    time stamps is left to Spark.
+
     ``total`` names an optional column with the number of rows of the series. Rows without a time
     stamp have no position and are left out.
     """
     columns = df.columns
-    layout = _resolve(df, keys, ts, layout)
+    layout = resolve(df, keys, ts, layout, tie)
     rows, order = _with_order(df.where(F.col(ts).isNotNull()), ts, tie, layout)
     out = [*columns, position] + ([total] if total else [])
     if layout.mode == "keyed":
@@ -161,12 +181,14 @@ def add_positions(
         F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"),
         F.sum("__c").over(Window.partitionBy(*keys)).alias("__total"),
     )
-    both, w = _marked(rows, markers, keys, slices, order)
-    entering = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn(position, F.first("__start").over(entering) + F.row_number().over(w) - 2)
+    payload = [c for c in columns if c not in keys and c not in order]
+    both, w = _marked(rows, markers, keys, slices, order, payload)
+    entering = F.first("__in").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = both.withColumns({"__first": entering, "__r": F.row_number().over(w)}).where(F.col("__row").isNotNull())
+    extra = [(F.col("__first.__start") + F.col("__r") - 2).alias(position)]
     if total:
-        both = both.withColumn(total, F.first("__total").over(entering))
-    return both.where(F.col("__mark") == 1).select(*out)
+        extra.append(F.col("__first.__total").alias(total))
+    return placed.select(*_unpacked(columns, payload), *extra)
 
 
 class Frames:
@@ -197,7 +219,7 @@ def apply_windows(
     ``position`` names an existing position column, so several operators can share one pass.
     """
     columns = df.columns
-    layout = _resolve(df, keys, ts, layout)
+    layout = resolve(df, keys, ts, layout, tie)
     pos = position or "rn"
     if layout.mode == "keyed" and not keep_position:
         rows, order = _with_order(df, ts, tie, layout)
@@ -254,7 +276,7 @@ def fill_forward_back(
     layout: Layout | None = None,
 ) -> DataFrame:
     """Replace nulls by the last earlier value, and leading nulls by the first value of the series."""
-    layout = _resolve(df, keys, ts, layout)
+    layout = resolve(df, keys, ts, layout, tie)
     rows, order = _with_order(df.where(F.col(ts).isNotNull()), ts, tie, layout)
     names = df.columns
     if layout.mode == "keyed":
@@ -282,16 +304,15 @@ def fill_forward_back(
             out[f"__head_{c}"] = F.first(f"__first_{c}", ignorenulls=True).over(everything)
         return out
 
-    both, w = _marked(rows, carry_markers(rows, keys, slices, per_slice, carried), keys, slices, order)
+    payload = [c for c in names if c not in keys and c not in order]
+    both, w = _marked(rows, carry_markers(rows, keys, slices, per_slice, carried), keys, slices, order, payload)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    latest = {f"__seen_{c}": F.last(F.col("__row")[c], ignorenulls=True).over(upto) for c in columns}
+    placed = both.withColumns({"__first": F.first("__in").over(upto), **latest}).where(F.col("__row").isNotNull())
     filled = {
-        c: F.coalesce(
-            F.last(c, ignorenulls=True).over(upto), F.first(f"__in_{c}").over(upto), F.first(f"__head_{c}").over(upto)
-        )
-        for c in columns
+        c: F.coalesce(f"__seen_{c}", F.col("__first")[f"__in_{c}"], F.col("__first")[f"__head_{c}"]).alias(c) for c in columns
     }
-    both = both.withColumns({f"__fill_{c}": e for c, e in filled.items()}).where(F.col("__mark") == 1)
-    return both.select(*[F.col(f"__fill_{c}").alias(c) if c in filled else F.col(c) for c in names])
+    return placed.select(*[filled.get(c, old) for c, old in zip(names, _unpacked(names, payload))])
 
 
 def running_sums(
@@ -305,7 +326,7 @@ def running_sums(
     include_current: bool = True,
 ) -> DataFrame:
     """Running totals from the start of the series; null terms count as nothing."""
-    layout = _resolve(df, keys, ts, layout)
+    layout = resolve(df, keys, ts, layout, tie)
     columns = df.columns
     rows, order = _with_order(df.where(F.col(ts).isNotNull()), ts, tie, layout)
     rows = rows.withColumns({f"__term_{n}": c for n, c in sums.items()})
@@ -319,8 +340,11 @@ def running_sums(
     def carried(earlier: WindowSpec, everything: WindowSpec) -> dict[str, Column]:
         return {f"__in_{n}": F.coalesce(F.sum(f"__part_{n}").over(earlier), F.lit(0)) for n in sums}
 
-    both, w = _marked(rows, carry_markers(rows, keys, slices, per_slice, carried), keys, slices, order)
+    payload = [c for c in rows.columns if c not in (*keys, *order, *slices)]
+    both, w = _marked(rows, carry_markers(rows, keys, slices, per_slice, carried), keys, slices, order, payload)
     spec = w.rowsBetween(Window.unboundedPreceding, hi)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    totals = {n: F.first(f"__in_{n}").over(upto) + F.coalesce(F.sum(f"__term_{n}").over(spec), F.lit(0)) for n in sums}
-    return both.withColumns(totals).where(F.col("__mark") == 1).select(*columns, *sums)
+    inside = {f"__run_{n}": F.sum(F.col("__row")[f"__term_{n}"]).over(spec) for n in sums}
+    first = F.first("__in").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumns({"__first": first, **inside}).where(F.col("__row").isNotNull())
+    totals = [(F.col("__first")[f"__in_{n}"] + F.coalesce(f"__run_{n}", F.lit(0))).alias(n) for n in sums]
+    return placed.select(*_unpacked(columns, payload), *totals)

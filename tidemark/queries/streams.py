@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..plans.session import scratch_path
 from ..streaming.jobs import live_tail, live_view, monitor, resample_stream
 from ..streaming.sources import run_available, stream_files
-from .base import longs, rounded, table
+from .base import OFF_TIES, longs, rounded, table
 
 
 def _events(spark, d):
@@ -27,12 +27,12 @@ def threshold_monitor(spark, d):
     live = monitor(_events(spark, d), limits, value="value", keys=["user_id"])
     out = scratch_path(spark, "monitor")
     run_available(live.select("event_id", "ts", "value", "abs_error", "status"), out, scratch_path(spark, "monitor-state"))
-    return _ntz(rounded(spark.read.parquet(out), "abs_error"))
+    return _ntz(rounded(spark.read.parquet(out), "abs_error", shift=OFF_TIES))
 
 
-MONITOR_SQL = """
+MONITOR_SQL = f"""
 WITH l AS (SELECT user_id, avg(value) AS predicted, avg(value) + 2.5 * stddev_samp(value) AS threshold FROM events GROUP BY 1)
-SELECT event_id, ts, value, round(abs(value - predicted), 6) AS abs_error,
+SELECT event_id, ts, value, round(abs(value - predicted) + {OFF_TIES}, 6) AS abs_error,
        CASE WHEN value > threshold THEN 'HIGH ALERT' ELSE 'Normal' END AS status FROM events JOIN l USING (user_id)"""
 
 
