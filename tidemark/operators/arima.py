@@ -45,7 +45,7 @@ def _keyed_rows(pdf_fn, keys: Sequence[str], df: DataFrame, schema: T.StructType
     """Apply a small solver to a table with one row per series."""
     if keys:
         return df.groupBy(*keys).applyInPandas(pdf_fn, schema)
-    return df.groupBy(F.lit(0)).applyInPandas(pdf_fn, schema)
+    return df.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(pdf_fn, schema)
 
 
 def _key_schema(df: DataFrame, keys: Sequence[str], extra: str) -> T.StructType:

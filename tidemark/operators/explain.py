@@ -47,7 +47,7 @@ def tree_nodes(model) -> pd.DataFrame:
         F.col("nodeData.leftChild").alias("left"),
         F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("cut"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"),
     )
     if nodes.limit(MAX_NODES + 1).count() > MAX_NODES:
         raise ValueError("the model has too many nodes to share with every task")
