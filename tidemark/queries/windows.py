@@ -120,7 +120,7 @@ SELECT ts, round(power, 4) AS power, round(sum(power) OVER (ORDER BY ts ROWS UNB
 def feature_build(spark, d):
     f = features(spark, d)
     ints = ("hour", "dayofweek", "month", "quarter", "dayofyear", "weekofyear", "is_weekend")
-    return rounded(longs(f, *ints), *[c for c in f.columns if c not in ("ts", *ints)])
+    return rounded(longs(f, *ints), *[c for c in f.columns if c not in ("ts", *ints)], shift=OFF_TIES)
 
 
 _HISTORY = ", ".join(
@@ -138,7 +138,7 @@ feats AS (SELECT *, hour(ts) AS hour, isodow(ts) - 1 AS dayofweek, month(ts) AS
   FROM history WHERE lag_48 IS NOT NULL)"""
 FEATURES_SQL = FEATURES_CTE + """
 SELECT ts, hour, dayofweek, month, quarter, dayofyear, weekofyear, is_weekend, """ + ", ".join(
-    f"round({c}, 6) AS {c}" for c in [*_NUMBERS, "hour_sin", "hour_cos", "month_sin", "month_cos"]
+    f"round({c} + {OFF_TIES}, 6) AS {c}" for c in [*_NUMBERS, "hour_sin", "hour_cos", "month_sin", "month_cos"]
 ) + " FROM feats"
 
 
