@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.quantiles import exact_quantiles
+from ..plans.session import materialize
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, size int, depth int"
 
@@ -134,6 +135,7 @@ def detect_isolation_forest(
     """
     complete = df.na.drop("any", subset=list(features))
     forest = grow_forest(complete, features, ids, trees=trees, sample_size=sample_size, seed=seed)
-    scored = score(complete, features, forest, sample_size=sample_size)
+    # Written once: the quantile reads the scores several times, and scoring runs in Python.
+    scored = materialize(score(complete, features, forest, sample_size=sample_size), "scores")
     cut = exact_quantiles(scored.select("score"), "score", [1 - contamination]).select("quantile").scalar()
     return scored.withColumn(flag, F.col("score") > cut)
