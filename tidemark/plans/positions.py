@@ -51,10 +51,12 @@ def every(interval_us: int, rows_per_slice: int = 100_000, chunk_rows: int = 65_
 
 
 def epoch_micros(df: DataFrame, ts: str) -> Column:
-    """Microseconds since 1970 for either timestamp type."""
+    """Microseconds since 1970 for either timestamp type, whatever the session's time zone."""
+    t = F.col(ts)
     if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+        seconds = (F.extract(F.lit("SECONDS"), t) * SECOND).cast("long")
+        return F.unix_date(F.to_date(t)).cast("long") * DAY + F.hour(t).cast("long") * HOUR + F.minute(t).cast("long") * (60 * SECOND) + seconds
+    return F.unix_micros(t.cast("timestamp"))
 
 
 def _div(micros: Column, width: int) -> Column:
