@@ -115,3 +115,14 @@ def test_metrics_by_hand(spark):
     assert (rows["a"]["MAE"], rows["a"]["RMSE"], rows["a"]["MAPE"], rows["a"]["R2"]) == (1.0, 1.0, 37.5, 0.625)
     best = metrics.best_flags(metrics.compare_models(df)).where("is_best").select("Model").distinct().collect()
     assert [r[0] for r in best] == ["b"]
+
+
+def test_boosted_strategies_agree_in_shape(spark):
+    df = to_spark(spark, seasonal(160, seed=4))
+    small = {"maxIter": 2, "maxDepth": 2}
+    for strategy in ("pooled", "per_step"):
+        model, scored = multi_step_forecast(df, "v", look_back=12, horizon=2, strategy=strategy, params=small, layout=LAYOUT)
+        rows = scored.collect()
+        assert model.horizon == 2 and len(rows) == 30
+        assert all(len(r["y_hat"]) == 2 and 5 < r["y_hat"][0] < 40 for r in rows)
+        assert future_forecast(df, "v", model, look_back=12).count() == 2
