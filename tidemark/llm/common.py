@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,3 +51,13 @@ def free_name(taken: Sequence[str], name: str) -> str:
 def buckets_for(spark: SparkSession, least: int = 64) -> int:
     """Sub-buckets that split a hot key: as many as the session's shuffles have tasks, 64 at least."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def ranked_in(df: DataFrame, group: str, bucket: str, order: Sequence[str], out: str) -> DataFrame:
+    """``df`` with ``out``, the gapless rank from 0 in ``group``, counted per ``bucket`` so that a large group is split."""
+    window = Window.partitionBy(group, bucket).orderBy(*[F.col(f"`{c}`") for c in order])
+    earlier = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = df.groupBy(group, bucket).agg(F.count(F.lit(1)).alias("__n"))
+    before = before.withColumn("__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    ranked = df.withColumn(out, F.row_number().over(window).cast("long") - 1).join(before, [group, bucket])
+    return ranked.withColumn(out, F.col(out) + F.col("__n")).drop("__n", bucket)

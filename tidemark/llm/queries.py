@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe
+from . import packing, quality_rules, sentencepiece_bpe, sharding, topk_search
+from ..plans.session import materialize
 from .common import documents
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of every 50th vector with all others."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = rows.select(F.col("vec_id").cast("long").alias("id"), topk_search.scaled(F.col("embedding")).alias("vector"))
+    return topk_search.top_k(vectors, vectors.where("id % 50 = 0"), 5)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """Ids of every document with begin and end ids, and what they decode to, as digests."""
     if model is None:
@@ -25,6 +44,35 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Token pieces of every document and their places in sequences of at most 2048 tokens."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack_documents(documents(spark, sf_dir), tokenizer, digest=F.crc32("ids").alias("ids_crc32"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    counts = quality_rules.text_counts(documents(spark, sf_dir).select("doc_id", "lang", "source", "text"))
+    judged = quality_rules.judge(materialize(counts, "counts"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes; equal texts stay together."""
+    placed = sharding.shard(documents(spark, sf_dir), 8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES = {
+    "op2_topk_search": (op2_topk_search, OP2_SQL),
     "op3_sentencepiece": (op3_sentencepiece, None),
+    "op5_packing": (op5_packing, None),
+    "op6_quality_rules": (op6_quality_rules, None),
+    "op8_sharding": (op8_sharding, None),
 }
