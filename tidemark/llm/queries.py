@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, sentencepiece_bpe, sharding, topk_search
+from . import line_dedup, packing, quality_rules, sentencepiece_bpe, sharding, topk_search
 from ..plans.session import materialize
 from .common import documents
 
@@ -44,6 +44,18 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses as a repeat of an earlier sentence, and the digest of what stays."""
+    cleaned = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.coalesce(F.aggregate("removed", F.lit(0), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).cast("long").alias("chars_removed"),
+        F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Token pieces of every document and their places in sequences of at most 2048 tokens."""
     if tokenizer is None:
@@ -72,6 +84,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_topk_search": (op2_topk_search, OP2_SQL),
     "op3_sentencepiece": (op3_sentencepiece, None),
+    "op4_line_dedup": (op4_line_dedup, None),
     "op5_packing": (op5_packing, None),
     "op6_quality_rules": (op6_quality_rules, None),
     "op8_sharding": (op8_sharding, None),
