@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality_rules, sentencepiece_bpe, sharding, topk_search
+from . import importance, line_dedup, packing, quality_rules, sentencepiece_bpe, sharding, topk_search
 from ..plans.session import materialize
 from .common import documents
 
@@ -73,6 +73,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document against the labelled good ones, and whether the sample takes it."""
+    return importance.select(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near equal bytes; equal texts stay together."""
     placed = sharding.shard(documents(spark, sf_dir), 8)
@@ -87,5 +92,6 @@ QUERIES = {
     "op4_line_dedup": (op4_line_dedup, None),
     "op5_packing": (op5_packing, None),
     "op6_quality_rules": (op6_quality_rules, None),
+    "op7_importance": (op7_importance, None),
     "op8_sharding": (op8_sharding, None),
 }
