@@ -12,7 +12,7 @@ from tidemark.llm import importance as im
 def corpus(seed=1, n=240):
     rng = random.Random(seed)
     good, bad = [f"word{i}" for i in range(40)], [f"junk{i}" for i in range(40)]
-    return [(i, " ".join(rng.choice(good if i % 4 else bad) for _ in range(rng.randint(3, 60))), int(i % 4 != 0)) for i in range(n)]
+    return [(i, " ".join(rng.choice(good if i % 4 else bad) for _ in range(rng.randint(15, 60))), int(i % 4 != 0)) for i in range(n)]
 
 
 def test_weights_equal_brute_force(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, line_dedup, packing, quality_rules, sentencepiece_bpe, sharding, topk_search
+from . import importance, jaccard_join, line_dedup, packing, quality_rules, sentencepiece_bpe, sharding, topk_search
 from ..plans.session import materialize
 from .common import documents
 
@@ -86,6 +86,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_topk_search": (op2_topk_search, OP2_SQL),
     "op3_sentencepiece": (op3_sentencepiece, None),
@@ -94,4 +99,5 @@ QUERIES = {
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_importance": (op7_importance, None),
     "op8_sharding": (op8_sharding, None),
+    "op9_jaccard_join": (op9_jaccard_join, None),
 }
