@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, jaccard_join, line_dedup, packing, quality_rules, sentencepiece_bpe, sharding, topk_search
+from . import importance, jaccard_join, line_dedup, packing, pii, quality_rules, sentencepiece_bpe, sharding, topk_search
 from ..plans.session import materialize
 from .common import documents
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(pii.KINDS)]
+    every = F.array_sort(F.concat("base", "found"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(every).alias("spans"))
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five largest integer inner products of every 50th vector with all others."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -92,6 +100,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": (op1_pii, None),
     "op2_topk_search": (op2_topk_search, OP2_SQL),
     "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_line_dedup": (op4_line_dedup, None),
