@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, jaccard_join, line_dedup, packing, pii, quality_rules, sentencepiece_bpe, sharding, topk_search
+from . import importance, jaccard_join, line_dedup, packing, pii, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, topk_search
 from ..plans.session import materialize
 from .common import documents
 
@@ -99,6 +99,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that every document keeps when repeated 100-byte strings go."""
+    cut = suffix_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_pii": (op1_pii, None),
     "op2_topk_search": (op2_topk_search, OP2_SQL),
@@ -109,4 +118,5 @@ QUERIES = {
     "op7_importance": (op7_importance, None),
     "op8_sharding": (op8_sharding, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
+    "op10_suffix_dedup": (op10_suffix_dedup, None),
 }
