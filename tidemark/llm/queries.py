@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import importance, jaccard_join, line_dedup, packing, pii, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, topk_search
 from ..plans.session import materialize
 from .common import documents
@@ -119,4 +121,5 @@ QUERIES = {
     "op8_sharding": (op8_sharding, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
