@@ -44,7 +44,7 @@ class Settings:
     boosted: dict = field(default_factory=dict)
     arima_train: int = 1500
     arima_test: int = 500
-    explain_rows: int = 500
+    explain_rows: int | None = None
     isolation_trees: int = 200
     layout: Layout | None = None
 
@@ -58,7 +58,7 @@ def run_batch(spark: SparkSession, source: str | DataFrame, out: str, settings:
         paths[name] = write_result(df, f"{out}/{name}")
         return spark.read.parquet(paths[name])
 
-    raw = read_readings(spark, source) if isinstance(source, str) else source
+    raw = save("readings", read_readings(spark, source)) if isinstance(source, str) else source  # text is parsed once
     hourly = save("processed_hourly", preprocess(raw, s.freq, mean=s.mean, total=s.total, layout=s.layout))
     measures = [*s.mean, *s.total]
 

@@ -244,13 +244,13 @@ def sarima_forecast(
 
 
 def walk_forward(
-    df: DataFrame, value: str, *, train_ratio: float = 0.8, max_steps: int | None = 200, keys: Sequence[str] = (),
+    df: DataFrame, value: str, *, train_ratio: float = 0.8, max_steps: int | None = None, keys: Sequence[str] = (),
     ts: str = "ts", layout: Layout | None = None,
 ) -> DataFrame:
     """One-step forecasts refitted before every row of the test part: ``actual``, ``predicted``.
 
     The normal equations of an expanding fit are running sums, so one ordered pass replaces a refit
-    per step; each row then solves a 3 by 3 system. ``max_steps`` limits the evaluated steps.
+    per step; each row then solves a 3 by 3 system. The whole test part is evaluated unless ``max_steps`` limits it.
     """
     base = df.select(*keys, ts, F.col(value).cast("double").alias("y")).where(F.col("y").isNotNull())
     placed = add_positions(base, keys, ts, layout=layout, total="n")

@@ -14,6 +14,7 @@ from ..plans.joins import null_safe_join
 from ..plans.positions import Frames, Layout, add_positions, apply_windows, halo_chunks, resolve
 from ..plans.quantiles import exact_quantiles
 from ..plans.session import materialize
+from ..sources.readings import no_nan
 
 
 def classical(
@@ -78,7 +79,16 @@ def smooth(y: np.ndarray, weight: np.ndarray, q: int, span: int, at: np.ndarray
         var = (w * off**2).sum(axis=1)
         slope = np.where(np.sqrt(var) > 0.001 * span, (x - mean) / var, 0.0)
         fit = (w * (1 + slope[:, None] * off) * y[idx]).sum(axis=1)
-    return np.where(total > 0, fit, y[np.clip(x, 0, n - 1).astype(int)])
+    known = np.flatnonzero(weight > 0)
+    if not len(known):
+        return np.zeros(len(x))
+    if np.all(total > 0):
+        return fit
+    # no weight within reach: the nearest value that has any
+    after = np.clip(np.searchsorted(known, x), 0, len(known) - 1)
+    before = np.maximum(after - 1, 0)
+    nearest = np.where(np.abs(known[before] - x) <= np.abs(known[after] - x), known[before], known[after])
+    return np.where(total > 0, fit, y[nearest])
 
 
 def _moving(x: np.ndarray, k: int) -> np.ndarray:
@@ -125,6 +135,8 @@ def stl(
     are therefore smoothed independently and agree with one pass over the whole series. The
     robustness weights need the median residual of the series, an exact distributed quantile per
     outer round. Each round is written to the shared folder, so lineage does not grow.
+
+    Missing values have no weight: their trend and seasonal come from their neighbours, their residual is null.
     """
     inner = inner if inner is not None else (2 if robust else 5)
     outer = outer if outer is not None else (15 if robust else 0)
@@ -133,7 +145,7 @@ def stl(
     reach = inner * (period * (seasonal // 2 + 2) + q_low // 2 + q_trend // 2 + 2)
     layout = resolve(df, keys, ts, layout)
 
-    base = add_positions(df.select(*keys, ts, F.col(value).cast("double").alias("observed")), keys, ts, layout=layout, total="n")
+    base = add_positions(df.select(*keys, ts, no_nan(F.col(value).cast("double")).alias("observed")), keys, ts, layout=layout, total="n")
     state = base.withColumns({"seasonal": F.lit(0.0), "trend": F.lit(0.0), "weight": F.lit(1.0)})
     fields = [f for f in state.schema.fields]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields if f.name not in ("weight",)])
@@ -141,8 +153,9 @@ def stl(
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn", ignore_index=True)
+        there = pdf["observed"].notna().to_numpy()
         s, t = _inner(
-            pdf["observed"].to_numpy(), pdf["trend"].to_numpy(), pdf["weight"].to_numpy(),
+            pdf["observed"].fillna(0.0).to_numpy(), pdf["trend"].to_numpy(), np.where(there, pdf["weight"].to_numpy(), 0.0),
             int(pdf["rn"].iloc[0]), int(pdf["n"].iloc[0]), period, seasonal, q_low, q_trend, inner,
         )
         return pdf.assign(seasonal=s, trend=t).loc[pdf["__own"], names]
@@ -154,7 +167,7 @@ def stl(
         if k == outer:
             break
         off = F.abs(F.col("observed") - F.col("trend") - F.col("seasonal"))
-        medians = exact_quantiles(fitted.withColumn("__off", off), "__off", [0.5], keys)
+        medians = exact_quantiles(fitted.withColumn("__off", off).where("__off IS NOT NULL"), "__off", [0.5], keys)
         bound = medians.select(*keys, (6 * F.col("quantile")).alias("__h"))
         with_bound = null_safe_join(fitted, bound, keys) if keys else fitted.withColumn("__h", bound.select("__h").scalar())
         bisquare = F.pow(1 - F.pow(F.try_divide(off, F.col("__h")), 2), 2)

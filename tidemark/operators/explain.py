@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from ..plans.session import scratch_path
 from .filters import seeded_sample
 
-# Upper bound on the nodes of a model that may be shared with every task.
-MAX_NODES = 5_000_000
-
-
 @dataclass
 class LeafPath:
     """A leaf seen from the root: its weighted value and, per feature, interval and cover share."""
@@ -33,8 +29,8 @@ class LeafPath:
 def tree_nodes(model) -> pd.DataFrame:
     """Node table of a fitted tree ensemble, read from its saved form.
 
-    Columns: tree, id, prediction, cover, left, right, feature, cut, weight. The size of a model is
-    set by its parameters; it is checked against ``MAX_NODES`` before it reaches the driver.
+    Columns: tree, id, prediction, cover, left, right, feature, cut, weight. The size of a model is set by its
+    parameters (trees and depth), not by the data.
     """
     spark = SparkSession.active()
     path = scratch_path(spark, "forest")
@@ -49,8 +45,6 @@ def tree_nodes(model) -> pd.DataFrame:
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"),
     )
-    if nodes.limit(MAX_NODES + 1).count() > MAX_NODES:
-        raise ValueError("the model has too many nodes to share with every task")
     pdf = nodes.toPandas()
     weights = np.asarray(model.treeWeights, dtype=float)
     if type(model).__name__.startswith("RandomForest"):
@@ -58,27 +52,53 @@ def tree_nodes(model) -> pd.DataFrame:
     return pdf.assign(weight=weights[pdf["tree"].to_numpy()])
 
 
-def leaf_paths(nodes: pd.DataFrame) -> list[LeafPath]:
-    out = []
-    for _, tree in nodes.groupby("tree"):
-        rows = {int(r.id): r for r in tree.itertuples()}
-        stack = [(0, {})]
+@dataclass
+class FlatTree:
+    """A tree as arrays, node after node: what a task needs to walk it."""
+
+    left: np.ndarray
+    right: np.ndarray
+    feature: np.ndarray
+    cut: np.ndarray
+    cover: np.ndarray
+    value: np.ndarray
+
+    def leaves(self) -> Iterator[LeafPath]:
+        stack: list[tuple[int, dict]] = [(0, {})]
         while stack:
             at, seen = stack.pop()
-            node = rows[at]
-            if node.left < 0:
+            if self.left[at] < 0:
                 feats = sorted(seen)
                 cells = np.array([seen[f] for f in feats], dtype=float).reshape(len(feats), 3)
-                out.append(LeafPath(node.prediction * node.weight, np.array(feats, dtype=int), *cells.T))
+                yield LeafPath(float(self.value[at]), np.array(feats, dtype=int), *cells.T)
                 continue
-            f = int(node.feature)
+            f = int(self.feature[at])
             low, high, cover = seen.get(f, (-np.inf, np.inf, 1.0))
-            for child, bounds in ((int(node.left), (low, min(high, node.cut))), (int(node.right), (max(low, node.cut), high))):
-                share = cover * rows[child].cover / node.cover
-                stack.append((child, {**seen, f: (*bounds, share)}))
+            for child, bounds in ((self.left[at], (low, min(high, self.cut[at]))), (self.right[at], (max(low, self.cut[at]), high))):
+                share = cover * self.cover[child] / self.cover[at]
+                stack.append((int(child), {**seen, f: (*bounds, share)}))
+
+
+def flat_trees(nodes: pd.DataFrame) -> list[FlatTree]:
+    """The node table as arrays per tree, in the order of node ids."""
+    out = []
+    for _, tree in nodes.sort_values(["tree", "id"]).groupby("tree"):
+        ids = tree["id"].to_numpy()
+
+        def at(children: pd.Series, ids: np.ndarray = ids) -> np.ndarray:
+            c = children.to_numpy()
+            return np.where(c < 0, -1, np.searchsorted(ids, c)).astype(np.int32)
+
+        value = (tree["prediction"] * tree["weight"]).to_numpy(float)
+        columns = (tree["feature"].to_numpy(np.int32), tree["cut"].to_numpy(float), tree["cover"].to_numpy(float), value)
+        out.append(FlatTree(at(tree["left"]), at(tree["right"]), *columns))
     return out
 
 
+def leaf_paths(nodes: pd.DataFrame) -> list[LeafPath]:
+    return [leaf for tree in flat_trees(nodes) for leaf in tree.leaves()]
+
+
 def _leaf_attribution(leaf: LeafPath, x: np.ndarray) -> np.ndarray:
     """Shapley values of one leaf for a batch of rows, one column per feature on its path.
 
@@ -107,9 +127,11 @@ def explain_trees(model: PipelineModel, rows: DataFrame, features: Sequence[str]
 
     ``base`` plus the values of a row is the model's prediction for it.
     """
-    leaves = leaf_paths(tree_nodes(model.stages[-1]))
-    base = float(sum(leaf.value * np.prod(leaf.cover) for leaf in leaves))
-    shared = rows.sparkSession.sparkContext.broadcast([leaf for leaf in leaves if len(leaf.features)])
+    trees = flat_trees(tree_nodes(model.stages[-1]))
+    # the mean prediction over the training rows: leaves weighted by cover
+    base = float(sum((t.value * t.cover)[t.left < 0].sum() / t.cover[0] for t in trees))
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(trees)
     width = len(features)
 
     @F.pandas_udf("array<double>")
@@ -117,10 +139,13 @@ def explain_trees(model: PipelineModel, rows: DataFrame, features: Sequence[str]
         for pdf in parts:
             x = pdf.to_numpy(float)
             phi = np.zeros((len(x), width))
-            for leaf in shared.value:
-                phi[:, leaf.features] += _leaf_attribution(leaf, x)
+            for tree in shared.value:
+                for leaf in tree.leaves():
+                    if len(leaf.features):
+                        phi[:, leaf.features] += _leaf_attribution(leaf, x)
             yield pd.Series(list(phi))
 
+    rows = rows.repartition(max(context.defaultParallelism, rows.rdd.getNumPartitions()))
     vector = F.struct(*[F.col(c).cast("double").alias(c) for c in features])
     return rows.select(*ids, F.lit(base).alias("base"), attribute(vector).alias("phi"))
 
@@ -185,9 +210,9 @@ def importance(long: DataFrame) -> DataFrame:
 
 
 def explain_model(
-    model: PipelineModel, test: DataFrame, features: Sequence[str], *, ids: Sequence[str] = ("ts",), sample_size: int = 500
+    model: PipelineModel, test: DataFrame, features: Sequence[str], *, ids: Sequence[str] = ("ts",), sample_size: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Importance table and long attributions of a seeded sample of the test rows."""
-    sample = seeded_sample(test, sample_size, ids=ids)
+    """Importance table and long attributions of the test rows, or of a seeded sample of them if a size is given."""
+    sample = test if sample_size is None else seeded_sample(test, sample_size, ids=ids)
     long = long_attributions(explain_trees(model, sample, features, ids=ids), features, ids=ids)
     return importance(long), long

@@ -36,7 +36,8 @@ def build_features(
     )
     derived = calendar_columns(ts)
     history = [c for c in windowed.columns if c not in df.columns]
-    return windowed.select(*df.columns, *[c.alias(n) for n, c in derived.items()], *history).na.drop("any")
+    out = windowed.select(*df.columns, *[c.alias(n) for n, c in derived.items()], *history)
+    return out.na.drop("any", subset=[c for c in out.columns if c not in keys])  # a null key is a key
 
 
 def add_components(
@@ -48,7 +49,8 @@ def add_components(
     choice; leave it out for an honest comparison.
     """
     right = components.select(*keys, ts, *COMPONENTS)
-    return null_safe_join(features, right, [*keys, ts]).na.drop("any")
+    out = null_safe_join(features, right, [*keys, ts])
+    return out.na.drop("any", subset=[c for c in out.columns if c not in keys])
 
 
 def feature_columns(df: DataFrame, target: str, *, ids: Sequence[str] = ("ts",)) -> list[str]:

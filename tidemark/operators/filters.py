@@ -67,14 +67,25 @@ def channel_breakdown(df: DataFrame, labels: Mapping[str, str] = SUB_METERS, *,
     return long.withColumn("channel", naming[F.col("channel")])
 
 
+# The engine's own limit of rows per group that it applies before a shuffle.
+GROUP_LIMIT = 1000
+PARTS = 64
+
+
 def last_rows(df: DataFrame, n: int, *, keys: Sequence[str] = (), ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
     """The last ``n`` rows, of each series when keys are given.
 
-    Both forms keep at most ``n`` rows per task before anything is shuffled.
+    One series keeps at most ``n`` rows per task before anything is shuffled; so do many series, or they
+    keep at most ``n`` rows in each of ``PARTS`` parts of a series when ``n`` is above ``GROUP_LIMIT``.
     """
     newest = [F.col(c).desc() for c in (ts, *tie)]
     if not keys:
         return df.orderBy(*newest).limit(n)
+    if n > GROUP_LIMIT:
+        # beyond this the engine doesn't limit groups before the shuffle: each part of a series keeps its last n first
+        parts = df.withColumn("__part", F.pmod(F.xxhash64(ts, *tie), F.lit(PARTS)))
+        part = Window.partitionBy(*keys, "__part").orderBy(*newest)
+        df = parts.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= n).drop("__r", "__part")
     w = Window.partitionBy(*keys).orderBy(*newest)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 

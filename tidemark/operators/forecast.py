@@ -17,9 +17,10 @@ from ..functions.calendar import future_times
 from ..functions.numeric import non_negative
 from ..plans.joins import null_safe_join
 from ..plans.positions import Layout
+from ..plans.session import materialize
 from .filters import last_rows
 from .linear import cross_products, solve
-from .split import look_back_windows, mark_split, scale_column, unscale
+from .split import look_back_windows, mark_split, min_max_bounds, scale, scale_column, unscale
 
 # Forecast horizons in steps.
 HORIZONS = {"24h": 24, "48h": 48, "7day": 168}
@@ -79,7 +80,7 @@ def train_one_step(windows: DataFrame, *, kind: str = "linear", **params) -> One
 def look_back_regression(df: DataFrame, value: str, *, kind: str = "linear", ts: str = "ts", keys=(), **options) -> DataFrame:
     """Train on the first part of the series and predict the rest: ``actual``, ``predicted``."""
     params = options.pop("params", {})
-    windows = scaled_windows(df, value, keys=keys, ts=ts, **options)
+    windows = materialize(scaled_windows(df, value, keys=keys, ts=ts, **options), "windows")
     model = train_one_step(windows, kind=kind, **params)
     test = model.predict(windows.where("NOT is_train"))
     return test.select(
@@ -183,11 +184,15 @@ def unscale_arrays(df: DataFrame, *columns: str) -> DataFrame:
 
 def multi_step_forecast(
     df: DataFrame, value: str, *, look_back: int = 48, horizon: int = 24, strategy: str = "direct", keys=(), ts: str = "ts",
-    layout: Layout | None = None, params: dict | None = None,
+    layout: Layout | None = None, params: dict | None = None, fit_on: str = "all", test_ratio: float = 0.2,
 ) -> tuple[object, DataFrame]:
     """Fit on the first part of the series, predict the rest: model, and arrays ``y`` and ``y_hat``."""
-    windows = scaled_windows(df, value, look_back=look_back, horizon=horizon, keys=keys, ts=ts, layout=layout)
+    made = scaled_windows(
+        df, value, look_back=look_back, horizon=horizon, keys=keys, ts=ts, layout=layout, fit_on=fit_on, test_ratio=test_ratio
+    )
+    windows = materialize(made, "windows")  # fitted and scored from one table
     model = train_multi_step(windows, look_back=look_back, horizon=horizon, strategy=strategy, **(params or {}))
+    model.bounds = materialize(windows.groupBy(*keys).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")), "bounds")
     scored = model.predict(windows.where("NOT is_train"))
     return model, unscale_arrays(scored, "y", "y_hat").select(*keys, ts, "y", "y_hat")
 
@@ -197,11 +202,20 @@ def future_forecast(
 ) -> DataFrame:
     """Forecast the steps after the last reading of each series, never below zero.
 
-    The last ``look_back`` rows per series are a bounded group. Series shorter than that get none.
+    Values are scaled by the bounds that the model was fitted with, if it carries them. The last ``look_back``
+    rows per series are a bounded group. Series shorter than that get none.
     """
     base = df.select(*keys, ts, value).where(F.col(value).isNotNull())
-    scaled = scale_column(base, value, keys=keys)
-    tail = last_rows(scaled, look_back, keys=keys, ts=ts)
+    tail = last_rows(base, look_back, keys=keys, ts=ts)
+    bounds = getattr(model, "bounds", None)
+    if bounds is None:
+        bounds = min_max_bounds(base, value, keys=keys)
+    if keys:
+        tail = null_safe_join(tail, bounds, keys)
+    else:
+        tail = tail.withColumn("__b", bounds.select(F.struct("lo", "hi").alias("b")).scalar())
+        tail = tail.select(*base.columns, F.col("__b.lo").alias("lo"), F.col("__b.hi").alias("hi"))
+    tail = tail.withColumn("scaled", scale(F.col(value), F.col("lo"), F.col("hi")))
     packed = tail.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(ts, "scaled"))), lambda s: s["scaled"]).alias("x"),
         F.first("lo").alias("lo"),

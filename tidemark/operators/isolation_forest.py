@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,23 +31,37 @@ def average_path(n):
 def draw_samples(df: DataFrame, features: Sequence[str], ids: Sequence[str], trees: int, sample_size: int, seed: int) -> DataFrame:
     """Rows per tree, without replacement within a tree: ``tree`` and the features.
 
-    A large table gives each row to at most one tree; a small one may give a row to several. Either
-    way about a third more rows than needed are kept before the lowest hashes are chosen.
+    Each tree has its own hash of every row, and takes the rows with the lowest. Rows above a limit that
+    about a third more than ``sample_size`` rows pass are left out before the shuffle.
     """
     n = df.count()
-    h = df.select(*features, F.xxhash64(*ids, F.lit(seed)).alias("__h"))
-    share = 1.35 * trees * sample_size / max(n, 1)
-    unit = 1 << 30
-    if share <= 0.5:
-        kept = h.where(F.pmod("__h", F.lit(unit)) < int(share * unit) + 1)
-        drawn = kept.withColumn("tree", F.pmod(F.xxhash64("__h", F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:
-        per_tree = min(1.0, 1.35 * sample_size / max(n, 1))
-        limit = int(per_tree * unit) + 1
-        picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("__h", t), F.lit(unit)) < limit)
-        drawn = h.withColumn("tree", F.explode(picks))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("__h", "tree"), "__h")
-    return drawn.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= sample_size).drop("__r", "__h")
+    rows = df.select(*features, F.xxhash64(*ids, F.lit(seed)).alias("__h"))
+    limit = np.uint64(min(1.35 * sample_size / max(n, 1), 1.0) * (2**64 - 2**11))
+    own = _mixed(np.arange(1, trees + 1, dtype=np.uint64))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for tree in range(trees):
+                rank = _mixed(h ^ own[tree])
+                at = np.flatnonzero(rank <= limit)
+                if len(at):
+                    part = batch.take(pa.array(at))
+                    columns = [*part.columns[:-1], pa.array(rank[at].view(np.int64)), pa.array(np.full(len(at), tree, np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "__rank", "tree"])
+
+    schema = rows.drop("__h").withColumns({"__rank": F.lit(0).cast("long"), "tree": F.lit(0)}).schema
+    lowest = F.col("__rank").bitwiseXOR(F.lit(-(1 << 63)))  # as unsigned
+    order = Window.partitionBy("tree").orderBy(lowest, *features)
+    drawn = rows.mapInArrow(draw, schema).withColumn("__r", F.row_number().over(order))
+    return drawn.where(F.col("__r") <= sample_size).drop("__r", "__rank")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of unsigned 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _grow(rows: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:

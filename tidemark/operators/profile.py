@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import weekday, weekday_label
-from ..plans.joins import broadcast_if_small, null_safe_join, with_group_stats
+from ..plans.joins import null_safe_join, with_group_stats
 from ..plans.quantiles import exact_quantiles
 
 
@@ -110,7 +110,7 @@ def box_by_weekday(df: DataFrame, value: str, *, ts: str = "ts", reach: float =
     wide = q.groupBy("dayofweek").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     )
-    joined = null_safe_join(days, broadcast_if_small(wide), ["dayofweek"])
+    joined = null_safe_join(days, wide, ["dayofweek"])
     span = (F.col("q3") - F.col("q1")) * reach
     inside = F.col("v").between(F.col("q1") - span, F.col("q3") + span)
     boxes = joined.groupBy("dayofweek", "q1", "median", "q3").agg(

@@ -8,10 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A side may only be broadcast when its row count was checked against this bound.
-BROADCAST_ROWS = 200_000
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on ``on`` where null matches null; the columns of ``on`` come from the left."""
     names = {k: f"__right_{k}" for k in on}
@@ -20,13 +16,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, cond, how).drop(*names.values())
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` has at most ``limit`` rows, counted without reading further."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
-
-
 def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Attach aggregates of each row's series to the row.
 

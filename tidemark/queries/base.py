@@ -13,10 +13,11 @@ MEAN = ("power", "level")
 TOTAL = ("sub_click", "sub_view", "sub_purchase")
 MEASURES = (*MEAN, *TOTAL)
 
-# An hourly series has at most 168 rows a week, at any data size: a proven bound for slices.
-WEEKLY = Layout("sliced", 7 * DAY, chunk_rows=4_096)
+# An hourly series has at most 168 rows a week, at any data size: a proven bound for slices. Chunks are small, so that
+# the checked queries cross their edges.
+WEEKLY = Layout("sliced", 7 * DAY, chunk_rows=512)
 # A minute series has at most 1,440 rows a day.
-DAILY = Layout("sliced", DAY, chunk_rows=16_384)
+DAILY = Layout("sliced", DAY, chunk_rows=2_048)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators.anomaly import combined_anomalies
 from ..operators.features import add_components, feature_columns
 from ..operators.profile import forecast_summary
 from ..operators.split import split_chronological
-from ..plans.session import scratch_path
+from ..plans.session import materialize, scratch_path
 from ..sources.sinks import load_model, save_model
 from .base import HOURLY_SQL, TOTAL, WEEKLY, features, hourly, longs, rounded, user_hourly
 
@@ -71,10 +71,10 @@ def all_detectors(spark, d):
 
 
 def _split(spark, d):
-    feats = features(spark, d)
+    feats = materialize(features(spark, d), "features")
     names = feature_columns(feats, "power")
     train, test = split_chronological(feats, layout=WEEKLY)
-    return train.cache(), test.cache(), names
+    return materialize(train, "train"), materialize(test, "test"), names
 
 
 def random_forest(spark, d):
@@ -166,10 +166,34 @@ def walk_forward(spark, d):
     return rounded(arima.walk_forward(hourly(spark, d), "power", layout=WEEKLY), "actual", "predicted")
 
 
+# The least-squares system of each step has three unknowns: running sums, then Cramer's rule.
+WALK_FORWARD_SQL = HOURLY_SQL + """, p AS (
+  SELECT ts, power AS y, row_number() OVER o - 1 AS rn, count(*) OVER () AS n,
+         (power - lag(power, 1) OVER o) - (lag(power, 24) OVER o - lag(power, 25) OVER o) AS w,
+         lag(power, 1) OVER o + lag(power, 24) OVER o - lag(power, 25) OVER o AS carry
+  FROM hourly WINDOW o AS (ORDER BY ts)),
+l AS (SELECT *, lag(w, 1) OVER o AS a, lag(w, 24) OVER o AS b, lag(w, 25) OVER o AS c FROM p WINDOW o AS (ORDER BY ts)),
+s AS (
+  SELECT *, sum(a * a) FILTER (c IS NOT NULL) OVER h AS aa, sum(a * b) FILTER (c IS NOT NULL) OVER h AS ab,
+         sum(a * c) FILTER (c IS NOT NULL) OVER h AS ac, sum(b * b) FILTER (c IS NOT NULL) OVER h AS bb,
+         sum(b * c) FILTER (c IS NOT NULL) OVER h AS bc, sum(c * c) FILTER (c IS NOT NULL) OVER h AS cc,
+         sum(a * w) FILTER (c IS NOT NULL) OVER h AS aw, sum(b * w) FILTER (c IS NOT NULL) OVER h AS bw,
+         sum(c * w) FILTER (c IS NOT NULL) OVER h AS cw
+  FROM l WINDOW h AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+k AS (
+  SELECT *, (aw * (bb * cc - bc * bc) - ab * (bw * cc - bc * cw) + ac * (bw * bc - bb * cw)) / det AS ka,
+         (aa * (bw * cc - bc * cw) - aw * (ab * cc - bc * ac) + ac * (ab * cw - bw * ac)) / det AS kb,
+         (aa * (bb * cw - bw * bc) - ab * (ab * cw - bw * ac) + aw * (ab * bc - bb * ac)) / det AS kc
+  FROM d)
+SELECT ts, round(y, 6) AS actual, round(greatest(ka * a + kb * b + kc * c + carry, 0), 6) AS predicted
+FROM k WHERE rn >= floor(n * 0.8) AND c IS NOT NULL"""
+
+
 def tree_shapley(spark, d):
     train, test, names = _split(spark, d)
     model = models.train_random_forest(train, names, "power", **SMALL_FOREST)
-    table, _ = explain.explain_model(model, test, names, sample_size=300)
+    table, _ = explain.explain_model(model, test, names)
     return rounded(table, "mean_shap")
 
 
@@ -210,7 +234,7 @@ QUERIES = {
     "future_summary": (future_summary, None),
     "adf_test": (adf, None),
     "sarima_forecast": (sarima, None),
-    "walk_forward": (walk_forward, None),
+    "walk_forward": (walk_forward, WALK_FORWARD_SQL),
     "tree_shapley": (tree_shapley, None),
     "tree_shapley_check": (tree_shapley_check, None),
     "any_shapley": (any_shapley, None),

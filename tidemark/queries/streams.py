@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.session import scratch_path
+from ..plans.session import materialize, scratch_path
 from ..streaming.jobs import live_tail, live_view, monitor, resample_stream
 from ..streaming.sources import run_available, stream_files
 from .base import OFF_TIES, longs, rounded, table
@@ -24,7 +24,8 @@ def threshold_monitor(spark, d):
     limits = table(spark, d, "events").groupBy("user_id").agg(
         F.avg("value").alias("predicted"), (F.avg("value") + 2.5 * F.stddev_samp("value")).alias("threshold")
     )
-    live = monitor(_events(spark, d), limits, value="value", keys=["user_id"])
+    # written once: every trigger joins the small table, not the whole history
+    live = monitor(_events(spark, d), materialize(limits, "thresholds"), value="value", keys=["user_id"])
     out = scratch_path(spark, "monitor")
     run_available(live.select("event_id", "ts", "value", "abs_error", "status"), out, scratch_path(spark, "monitor-state"))
     return _ntz(rounded(spark.read.parquet(out), "abs_error", shift=OFF_TIES))

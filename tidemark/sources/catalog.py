@@ -30,6 +30,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` and what is below it, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def open_catalogue(
     spark: SparkSession, root: str, *, required: Sequence[str] = REQUIRED, optional: Sequence[str] = OPTIONAL
 ) -> Catalogue:

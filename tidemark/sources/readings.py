@@ -13,7 +13,8 @@ SEPARATOR = ";"
 MISSING = "?"
 DATE_COLUMN = "Date"
 TIME_COLUMN = "Time"
-DATE_TIME_FORMAT = "d/M/yyyy H:m:s"
+DATE_PATTERN = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s*$"
+TIME_PATTERN = r"^\s*(\d{1,2}):(\d{1,2}):(\d{1,2})\s*$"
 MEASURES = (
     "Global_active_power",
     "Global_reactive_power",
@@ -45,9 +46,13 @@ def read_readings(
 
 
 def parse_date_time(df: DataFrame, *, date: str = DATE_COLUMN, time: str = TIME_COLUMN, ts: str = "ts") -> DataFrame:
-    """Combine a date and a time column into ``ts``; unreadable moments become null."""
-    text = F.concat(F.col(date), F.lit(" "), F.col(time))
-    moment = F.try_to_timestamp(text, F.lit(DATE_TIME_FORMAT)).cast("timestamp_ntz")
+    """Combine a date and a time column into ``ts``; unreadable moments become null.
+
+    The moment is built from its parts, so no time zone and no daylight saving touches it.
+    """
+    day, month, year = (F.regexp_extract(date, DATE_PATTERN, k).try_cast("int") for k in (1, 2, 3))
+    hour, minute, second = (F.regexp_extract(time, TIME_PATTERN, k).try_cast("int") for k in (1, 2, 3))
+    moment = F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)"))
     return df.withColumn(ts, moment).drop(date, time)
 
 
@@ -75,7 +80,7 @@ def with_time_column(df: DataFrame, ts: str = "ts") -> DataFrame:
     found = ts if ts in df.columns else find_time_column(df.columns)
     parsed = F.col(found)
     if isinstance(df.schema[found].dataType, T.StringType):
-        parsed = F.try_to_timestamp(parsed).cast("timestamp_ntz")
+        parsed = parsed.try_cast("timestamp_ntz")
     return df.withColumn(found, parsed).withColumnRenamed(found, ts)
 
 

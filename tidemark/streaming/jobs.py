@@ -12,7 +12,7 @@ from ..operators.profile import histogram
 from ..operators.resample import interval_of
 from ..operators.rolling import trailing
 from ..plans.positions import Layout
-from ..sources.catalog import path_exists
+from ..sources.catalog import delete_path, path_exists
 
 # Length of the live view, its rolling mean and its histogram.
 LIVE_ROWS = 200
@@ -61,21 +61,25 @@ def resample_stream(
 
 
 def live_tail(
-    path: str, *, n: int = LIVE_ROWS, value: str = "actual", ts: str = "ts", tie: Sequence[str] = ()
+    path: str, *, n: int = LIVE_ROWS, ts: str = "ts", tie: Sequence[str] = ()
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that keeps the last ``n`` readings below ``path``.
 
     Every batch writes its own version from the previous one, so a batch that runs again after a
-    failure replaces only its own result.
+    failure replaces only its own result. A batch whose previous version is gone fails; versions older
+    than that are deleted.
     """
 
     def update(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         previous = f"{path}/v{batch_id - 1}"
         rows = batch
-        if batch_id > 0 and path_exists(spark, previous):
+        if batch_id > 0:
+            if not path_exists(spark, previous):
+                raise FileNotFoundError(f"the live tail's version {previous} is missing")
             rows = batch.unionByName(spark.read.schema(batch.schema).parquet(previous))
         last_rows(rows, n, ts=ts, tie=tie).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        delete_path(spark, f"{path}/v{batch_id - 2}")
 
     return update
 
