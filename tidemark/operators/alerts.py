@@ -43,28 +43,28 @@ def alert_log(severities: DataFrame) -> DataFrame:
     return severities.where("is_anomaly").withColumn("detected_at", F.current_timestamp())
 
 
-def severity_counts(alerts: DataFrame) -> DataFrame:
+def severity_counts(alerts: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """Alerts per severity; all four levels, zero when absent."""
-    one = alerts.agg(*[F.count_if(F.col("severity") == level).alias(level) for level in SEVERITY_BANDS])
-    return one.unpivot([], list(SEVERITY_BANDS), "severity", "count")
+    one = alerts.groupBy(*keys).agg(*[F.count_if(F.col("severity") == level).alias(level) for level in SEVERITY_BANDS])
+    return one.unpivot(list(keys), list(SEVERITY_BANDS), "severity", "count")
 
 
-def alerts_by_hour(alerts: DataFrame, *, ts: str = "ts") -> DataFrame:
-    return alerts.groupBy(F.hour(ts).alias("hour")).agg(F.count("*").alias("count")).orderBy("hour")
+def alerts_by_hour(alerts: DataFrame, *, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    return alerts.groupBy(*keys, F.hour(ts).alias("hour")).agg(F.count("*").alias("count")).orderBy(*keys, "hour")
 
 
-def report_header(severities: DataFrame) -> DataFrame:
-    return severities.agg(
+def report_header(severities: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+    return severities.groupBy(*keys).agg(
         F.count("*").alias("total"),
         F.count_if("is_anomaly").alias("alerts"),
         (F.try_divide(F.count_if("is_anomaly"), F.count("*")) * 100).alias("rate_pct"),
     )
 
 
-def top_alerts(severities: DataFrame, n: int = 50, *, ts: str = "ts") -> DataFrame:
-    """The report's alert rows: largest deviation first, earlier time first on ties."""
-    ordered = severities.where("is_anomaly").orderBy(F.col("z_score").desc(), ts)
-    return ordered.select(ts, "value", "roll_mean", "z_score", "severity").limit(n)
+def top_alerts(severities: DataFrame, n: int = 50, *, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    """The report's alert rows over all series: largest deviation first, earlier time first on ties."""
+    ordered = severities.where("is_anomaly").orderBy(F.col("z_score").desc(), ts, *keys)
+    return ordered.select(*keys, ts, "value", "roll_mean", "z_score", "severity").limit(n)
 
 
 def alert_table(
@@ -73,6 +73,7 @@ def alert_table(
     levels: Sequence[str] = ("CRITICAL", "HIGH", "MEDIUM", "LOW"),
     sort_by: str = "z_score",
     n: int = 200,
+    keys: Sequence[str] = (),
     ts: str = "ts",
 ) -> DataFrame:
     """Filtered alert list, largest ``sort_by`` first.
@@ -80,7 +81,7 @@ def alert_table(
     ``severity`` sorts by its letters; use ``severity_rank`` to sort by urgency.
     """
     chosen = alerts.where(F.col("severity").isin(*levels)).withColumn("severity_rank", severity_rank(F.col("severity")))
-    return chosen.orderBy(F.col(sort_by).desc(), ts).limit(n).select(ts, "value", "z_score", "severity", "severity_rank")
+    return chosen.orderBy(F.col(sort_by).desc(), ts, *keys).limit(n).select(*keys, ts, "value", "z_score", "severity", "severity_rank")
 
 
 def severity_timeline(alerts: DataFrame, *, ts: str = "ts") -> DataFrame:

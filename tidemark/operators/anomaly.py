@@ -93,9 +93,9 @@ def combined_anomalies(
     return marked.select(*out)
 
 
-def anomaly_summary(df: DataFrame, flag: str, *, deviation: str = "z_score") -> DataFrame:
+def anomaly_summary(df: DataFrame, flag: str, *, keys: Sequence[str] = (), deviation: str = "z_score") -> DataFrame:
     """Points, anomalies, rate in percent, and mean deviation of the anomalies."""
-    return df.agg(
+    return df.groupBy(*keys).agg(
         F.count("*").alias("points"),
         F.count_if(flag).alias("anomalies"),
         (F.avg(F.col(flag).cast("int")) * 100).alias("rate_pct"),
@@ -103,18 +103,18 @@ def anomaly_summary(df: DataFrame, flag: str, *, deviation: str = "z_score") ->
     )
 
 
-def anomalies_by_hour(df: DataFrame, flag: str, *, ts: str = "ts") -> DataFrame:
-    return df.where(flag).groupBy(F.hour(ts).alias("hour")).agg(F.count("*").alias("count")).orderBy("hour")
+def anomalies_by_hour(df: DataFrame, flag: str, *, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    return df.where(flag).groupBy(*keys, F.hour(ts).alias("hour")).agg(F.count("*").alias("count")).orderBy(*keys, "hour")
 
 
-def anomalies_by_weekday(df: DataFrame, flag: str, *, ts: str = "ts") -> DataFrame:
-    days = df.where(flag).groupBy(weekday(ts).alias("dayofweek")).agg(F.count("*").alias("count"))
-    return days.withColumn("day", weekday_label(F.col("dayofweek"))).orderBy("dayofweek")
+def anomalies_by_weekday(df: DataFrame, flag: str, *, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    days = df.where(flag).groupBy(*keys, weekday(ts).alias("dayofweek")).agg(F.count("*").alias("count"))
+    return days.withColumn("day", weekday_label(F.col("dayofweek"))).orderBy(*keys, "dayofweek")
 
 
-def detector_comparison(df: DataFrame, methods: Sequence[str] = METHODS) -> DataFrame:
+def detector_comparison(df: DataFrame, methods: Sequence[str] = METHODS, *, keys: Sequence[str] = ()) -> DataFrame:
     """Count and rate of every detector the table has, from one pass."""
     present = [m for m in methods if m in df.columns]
-    one = df.agg(F.count("*").alias("__n"), *[F.count_if(m).alias(m) for m in present])
-    long = one.unpivot(["__n"], present, "method", "anomalies")
-    return long.select("method", "anomalies", F.round(F.try_divide(F.col("anomalies") * 100.0, "__n"), 3).alias("rate_pct"))
+    one = df.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.count_if(m).alias(m) for m in present])
+    long = one.unpivot([*keys, "__n"], present, "method", "anomalies")
+    return long.select(*keys, "method", "anomalies", F.round(F.try_divide(F.col("anomalies") * 100.0, "__n"), 3).alias("rate_pct"))

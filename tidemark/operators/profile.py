@@ -13,30 +13,33 @@ from ..plans.joins import null_safe_join, with_group_stats
 from ..plans.quantiles import exact_quantiles
 
 
-def hour_profile(df: DataFrame, value: str, *, ts: str = "ts") -> DataFrame:
-    return df.groupBy(F.hour(ts).alias("hour")).agg(F.avg(value).alias("mean"))
+def hour_profile(df: DataFrame, value: str, *, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    return df.groupBy(*keys, F.hour(ts).alias("hour")).agg(F.avg(value).alias("mean"))
 
 
-def weekday_profile(df: DataFrame, value: str, *, ts: str = "ts") -> DataFrame:
-    days = df.groupBy(weekday(ts).alias("dayofweek")).agg(F.avg(value).alias("mean"))
+def weekday_profile(df: DataFrame, value: str, *, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    days = df.groupBy(*keys, weekday(ts).alias("dayofweek")).agg(F.avg(value).alias("mean"))
     return days.withColumn("day", weekday_label(F.col("dayofweek")))
 
 
-def hour_weekday_pivot(df: DataFrame, value: str, *, ts: str = "ts") -> DataFrame:
+def hour_weekday_pivot(df: DataFrame, value: str, *, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """Weekday rows, hour columns ``h0`` to ``h23``, mean values."""
-    cells = df.groupBy(weekday(ts).alias("dayofweek"))
+    cells = df.groupBy(*keys, weekday(ts).alias("dayofweek"))
     means = [F.avg(F.when(F.hour(ts) == h, F.col(value))).alias(f"h{h}") for h in range(24)]
     return cells.agg(*means).withColumn("day", weekday_label(F.col("dayofweek")))
 
 
-def describe(df: DataFrame, columns: Sequence[str], *, digits: int = 3, approximate: bool = False) -> DataFrame:
-    """count, mean, std, min, quartiles and max per column, rounded: one row per column.
+def describe(
+    df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = (), digits: int = 3, approximate: bool = False
+) -> DataFrame:
+    """count, mean, std, min, quartiles and max per column, rounded: one row per column (and series).
 
     Quartiles are exact unless ``approximate``; exact ones take a few more scans, never a sort.
     """
     probs = (0.25, 0.5, 0.75)
-    long = df.select(*columns).unpivot([], list(columns), "column", "v")
-    stats = long.groupBy("column").agg(
+    by = [*keys, "column"]
+    long = df.select(*keys, *columns).unpivot(list(keys), list(columns), "column", "v")
+    stats = long.groupBy(*by).agg(
         F.count("v").alias("count"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
@@ -47,14 +50,14 @@ def describe(df: DataFrame, columns: Sequence[str], *, digits: int = 3, approxim
     if approximate:
         out = stats.withColumns({f"q{int(p * 100)}": F.col("__q")[i] for i, p in enumerate(probs)})
     else:
-        q = exact_quantiles(long, "v", probs, ["column"])
-        wide = q.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(f"q{int(p * 100)}") for p in probs])
-        out = null_safe_join(stats, wide, ["column"])
+        q = exact_quantiles(long, "v", probs, by)
+        wide = q.groupBy(*by).agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(f"q{int(p * 100)}") for p in probs])
+        out = null_safe_join(stats, wide, by)
     numbers = ["mean", "std", "min", "q25", "q50", "q75", "max"]
-    return out.select("column", "count", *[F.round(c, digits).alias(c) for c in numbers])
+    return out.select(*by, "count", *[F.round(c, digits).alias(c) for c in numbers])
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def correlations(df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of every pair in long form: ``a``, ``b``, ``r``, from one aggregate.
 
     Each pair uses the rows where both are present.
@@ -65,13 +68,13 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         return F.corr(F.when(both, F.col(a)), F.when(both, F.col(b)))
 
-    one = df.agg(*[corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.groupBy(*keys).agg(*[corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     index = {frozenset(p): i for i, p in enumerate(pairs)}
     cells = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{index[frozenset((a, b))]}").alias("r"))
         for a, b in product(columns, columns)
     ]
-    return one.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    return one.select(*keys, F.explode(F.array(*cells)).alias("cell")).select(*keys, "cell.*")
 
 
 def histogram(df: DataFrame, value: str, bins: int, *, keys: Sequence[str] = ()) -> DataFrame:
@@ -103,17 +106,20 @@ def histogram(df: DataFrame, value: str, bins: int, *, keys: Sequence[str] = ())
     )
 
 
-def box_by_weekday(df: DataFrame, value: str, *, ts: str = "ts", reach: float = 1.5) -> DataFrame:
+def box_by_weekday(
+    df: DataFrame, value: str, *, keys: Sequence[str] = (), ts: str = "ts", reach: float = 1.5
+) -> DataFrame:
     """Quartiles per weekday, whiskers at the last values within ``reach`` quartile ranges, outliers."""
-    days = df.where(F.col(value).isNotNull()).select(weekday(ts).alias("dayofweek"), F.col(value).alias("v"))
-    q = exact_quantiles(days, "v", (0.25, 0.5, 0.75), ["dayofweek"])
-    wide = q.groupBy("dayofweek").agg(
+    by = [*keys, "dayofweek"]
+    days = df.where(F.col(value).isNotNull()).select(*keys, weekday(ts).alias("dayofweek"), F.col(value).alias("v"))
+    q = exact_quantiles(days, "v", (0.25, 0.5, 0.75), by)
+    wide = q.groupBy(*by).agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     )
-    joined = null_safe_join(days, wide, ["dayofweek"])
+    joined = null_safe_join(days, wide, by)
     span = (F.col("q3") - F.col("q1")) * reach
     inside = F.col("v").between(F.col("q1") - span, F.col("q3") + span)
-    boxes = joined.groupBy("dayofweek", "q1", "median", "q3").agg(
+    boxes = joined.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
@@ -121,8 +127,8 @@ def box_by_weekday(df: DataFrame, value: str, *, ts: str = "ts", reach: float =
     return boxes.withColumn("day", weekday_label(F.col("dayofweek")))
 
 
-def kpi_cards(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(
+def kpi_cards(df: DataFrame, value: str, *, keys: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*keys).agg(
         F.avg(value).alias("mean"),
         F.max(value).alias("peak"),
         F.min(value).alias("low"),

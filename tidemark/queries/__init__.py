@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dashboard, detection, forecasting, prepare, streams, windows
+from . import dashboard, detection, forecasting, panel, prepare, streams, windows
 
-MODULES = (prepare, windows, dashboard, detection, forecasting, streams)
+MODULES = (prepare, windows, dashboard, detection, panel, forecasting, streams)
 
 
 def registered() -> dict:
