@@ -56,8 +56,9 @@ def texts(rng):
     return [*rows, "a" * 700, "ab" * 300, "a" * 400, "", None, "x" * 99, "x" * 100, "x" * 101, pool[0] * 6, "to " * 3_000]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "chunk"), [(1, sd.CHUNK), (2, 150)])
+def test_equals_brute_force(spark, seed, chunk, monkeypatch):
+    monkeypatch.setattr(sd, "CHUNK", chunk)  # in this process: see the next test for the cutting itself
     rng = random.Random(seed)
     rows = list(enumerate(texts(rng), start=-30))
     want = brute([(t or "").encode() for _, t in rows])
@@ -69,6 +70,20 @@ def test_equals_brute_force(spark, seed):
     assert sd.dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [100, 137, 1000])
+def test_long_texts_are_cut_without_losing_a_string(monkeypatch, chunk):
+    monkeypatch.setattr(sd, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    data = [(t or "").encode() for t in texts(rng)]
+    seen = []
+    for parts, which, offsets in sd._chunks(data):
+        _, starts, runs, part, _, _ = sd.anchors(parts)
+        begins = np.cumsum([0, *map(len, parts)])
+        for s, r, p in zip(starts, runs, part):
+            seen += [(int(which[p]), int(s - begins[p] + offsets[p] + k)) for k in range(r)]
+    assert sorted(seen) == [(i, k) for i, d in enumerate(data) for k in range(len(d) - sd.LENGTH + 1)]
+
+
 @pytest.mark.parametrize("shard", [1, 2, 5, 10_000])
 def test_shards_merge_by_binary_search(shard):
     """Cells cut into shards of any size give the spans of one shard."""
@@ -84,7 +99,8 @@ def test_shards_merge_by_binary_search(shard):
         own = wide[s : s + r + sd.LENGTH - 1]
         records["text"][i] = np.frombuffer(own + bytes(sd.STRETCH - len(own)), f"V{sd.STRETCH}")[0]
         records["whole"][i] = hash(own) & 0xFFFFFFFF
-    spans = sd.joined_spans(sd.cell_repeats(records, shard))
+    again, open_ones = sd.cell_firsts(records)
+    spans = sd.joined_spans(np.concatenate([again, sd.cell_repeats(open_ones, shard)]))
     got = {}
     for s in spans:
         got.setdefault(int(s["doc"]), []).append((int(s["start"]), int(s["end"])))

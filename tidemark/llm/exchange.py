@@ -44,10 +44,11 @@ def ship(
     cells: int,
     combine: Callable[[np.ndarray], np.ndarray] | None = None,
     rows: int = 256,
+    held_most: int = HELD,
 ) -> DataFrame:
     """(cell, records) rows from the records that ``make`` gives for slices of ``df``.
 
-    ``combine`` sees all records that a task ships at once and returns those to ship.
+    ``combine`` sees all records that a task ships at once, some ``held_most``, and returns those to ship.
     """
 
     def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +73,7 @@ def ship(
                 if made is not None and len(made):
                     held.append(made)
                     n += len(made)
-                    if n >= HELD:
+                    if n >= held_most:
                         yield from packed(held)
                         held, n = [], 0
         if held:

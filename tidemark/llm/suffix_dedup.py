@@ -8,12 +8,14 @@ strings have equal anchors at equal places. Strings with one anchor are neighbou
 string starts. Three passes:
 
 1. Anchors are counted over all texts; a bitmap of fixed size says which occur twice or more. Only they go on.
-2. Stretches are shipped by anchor. A map task ships one of several equal stretches, its earliest, and reports the
-   others as repeats. In the reduce task the stretches of a range of anchors are a shard: equal ones are reduced to the
-   earliest, the rest get a suffix array (Larsson-Sadakane refinement: order by 8 bytes, then by doubling, sorting
-   only groups that are not yet single) and Kasai's common prefixes, capped at ``LENGTH``. Strings with that long a
-   common prefix are equal; all but the earliest are repeats. A shard's text is bounded; where one anchor's
-   stretches go over it, the next shard's strings are merged by binary search in the sorted strings of the ones before.
+2. Stretches are named by a hash of their bytes and shipped by anchor, without the bytes. A map task ships one of
+   several equal stretches, its earliest, and reports the others as repeats; the reduce task does the same over all.
+   What is left are the earliest ones of anchors that have different stretches, and only their bytes are shipped.
+   The stretches of a range of anchors are a shard: they get a suffix array (Larsson-Sadakane refinement: order by
+   8 bytes, then by doubling, sorting only groups that are not yet single) and Kasai's common prefixes, capped at
+   ``LENGTH``. Strings with that long a common prefix are equal; all but the earliest are repeats. A shard's text is
+   bounded; where one anchor's stretches go over it, the next shard's strings are merged by binary search in the
+   sorted strings of the ones before.
 3. Repeats are gathered per document and removed; documents without any are not shuffled.
 
 Null and empty texts hold nothing. A null id ranks first. Different texts under one id rank by a hash of the text;
@@ -22,6 +24,8 @@ equal rows count as one document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -40,11 +44,15 @@ SPREAD = LENGTH - GRAM + 1  # grams in a string
 STRETCH = LENGTH + SPREAD - 1
 FLAGS = 1 << 27
 # Stretches of one shard.
-SHARD = 20_000
+SHARD = 5_000
+# Stretches that a map task holds before it ships them, and bytes of text that it hashes at a time.
+HELD_STRETCHES = 100_000
+CHUNK = 1 << 20
 NO_ID = -(1 << 63)
 
 KEY = np.dtype([("key", "<u8")])
-RECORD = np.dtype([("key", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("run", "<u4"), ("text", f"V{STRETCH}")])
+NAMED = np.dtype([("key", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("run", "<u4")])
+RECORD = np.dtype([*NAMED.descr, ("text", f"V{STRETCH}")])
 SPAN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("end", "<i4")])
 _PLACE = 30  # bits of a gram's place beside its hash
 
@@ -92,8 +100,26 @@ def _flag(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - FLAGS.bit_length() + 1)).astype(np.int64)
 
 
-def _slices(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
+def _chunks(texts: list[bytes | None]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Parts of texts of about ``CHUNK`` bytes in all: bytes, index of the text, offset in it.
+
+    A longer text is cut so that each start of a string, with its whole string, is in one part.
+    """
+    parts: list[bytes] = []
+    which: list[int] = []
+    offsets: list[int] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text or b"") - LENGTH + 1, CHUNK):
+            parts.append(text[at : at + CHUNK + LENGTH - 1])
+            which.append(i)
+            offsets.append(at)
+            size += len(parts[-1])
+            if size >= CHUNK:
+                yield parts, np.array(which), np.array(offsets)
+                parts, which, offsets, size = [], [], [], 0
+    if parts:
+        yield parts, np.array(which), np.array(offsets)
 
 
 def repeated_anchors(texts: DataFrame) -> np.ndarray:
@@ -101,7 +127,8 @@ def repeated_anchors(texts: DataFrame) -> np.ndarray:
     cells = cells_for(texts.sparkSession)
 
     def make(batch: pa.RecordBatch) -> np.ndarray:
-        return anchors(_slices(batch))[0].astype(KEY)
+        found = [anchors(parts)[0] for parts, _, _ in _chunks(batch.column(0).to_pylist())]
+        return np.concatenate(found).astype(KEY) if found else None
 
     def combine(records: np.ndarray) -> np.ndarray:  # the lowest bit says that the task holds it twice
         keys, n = np.unique(records["key"] | np.uint64(1), return_counts=True)
@@ -119,7 +146,7 @@ def repeated_anchors(texts: DataFrame) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["low", "flags"])
 
     flags = np.zeros(FLAGS // 8, np.uint8)
-    for row in gather(ship(texts.select("text"), make, cells, combine), KEY, reduce, "low long, flags binary").collect():  # FLAGS bits
+    for row in gather(ship(texts.select("text"), make, cells, combine, rows=128), KEY, reduce, "low long, flags binary").collect():  # FLAGS bits
         part = np.frombuffer(row["flags"], np.uint8)
         flags[row["low"] : row["low"] + len(part)] |= part
     return flags
@@ -244,21 +271,27 @@ def merge_shards(strings: np.ndarray, places: np.ndarray, seen: list[tuple[np.nd
     return np.concatenate(out) if out else np.zeros(0, SPAN)
 
 
-def cell_repeats(records: np.ndarray, shard: int = SHARD) -> np.ndarray:
-    """Spans of all strings in ``records`` that are not the first of their kind."""
+def cell_firsts(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of stretches that are equal to an earlier one; the earliest of anchors that have different ones."""
     r = records[np.lexsort((records["start"], records["tag"], records["doc"], records["whole"], records["run"], records["key"]))]
     if not len(r):
-        return np.zeros(0, SPAN)
+        return np.zeros(0, SPAN), r
     same = (r["key"][1:] == r["key"][:-1]) & (r["whole"][1:] == r["whole"][:-1]) & (r["run"][1:] == r["run"][:-1])
     new = np.r_[True, ~same]
     first = r[np.flatnonzero(new)[np.cumsum(new) - 1]]
     again = ~new & ~((r["doc"] == first["doc"]) & (r["tag"] == first["tag"]) & (r["start"] == first["start"]))
-    found = [_spans(r[again])]
+    spans = _spans(r[again])
     r = r[new]
     several = np.zeros(len(r), bool)  # a stretch that is alone with its anchor has no partner left
     several[1:] = r["key"][1:] == r["key"][:-1]
     several[:-1] |= several[1:]
-    r = r[several]
+    return spans, r[several]
+
+
+def cell_repeats(records: np.ndarray, shard: int = SHARD) -> np.ndarray:
+    """Spans of all strings in different stretches that are not the first of their kind."""
+    r = records[np.argsort(records["key"], kind="stable")]
+    found = [np.zeros(0, SPAN)]
     seen: list[tuple[np.ndarray, np.ndarray]] = []
     for a in range(0, len(r), shard):
         own = r[a : a + shard]
@@ -299,44 +332,84 @@ def joined_spans(spans: np.ndarray) -> np.ndarray:
 # -- on Spark --
 
 
-def repeats(texts: DataFrame, flags: Broadcast) -> DataFrame:
-    """doc, tag, start, end of repeated strings; spans of a document may overlap. ``texts``: doc, tag, text (binary)."""
-    cells = cells_for(texts.sparkSession)
+def stretches(parts: list[bytes], which: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tag: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Names of the stretches whose anchors are flagged: the first of equal ones, marks for the others."""
+    keys, starts, runs, part, joined, total = anchors(parts)
+    on = _flag(keys)
+    good = np.flatnonzero((flags[on >> 3] >> (7 - (on & 7)).astype(np.uint8)) & 1)
+    keys, starts, runs, part = keys[good], starts[good], runs[good], part[good]
+    begins = np.cumsum([0, *map(len, parts)])
+    _, down = Powers.take(len(joined) + 1)
+    out = np.zeros(len(keys), NAMED)
+    out["key"], out["run"], out["start"] = keys, runs, starts - begins[part] + offsets[part]
+    out["doc"], out["tag"] = doc[which[part]], tag[which[part]]
+    out["whole"] = hashed((total[starts + runs + LENGTH - 1] - total[starts]) * down[starts] * np.uint64(_BASE))
+    return _with_marks(out, _firsts(out))
 
-    def make(batch: pa.RecordBatch) -> np.ndarray:
-        data = _slices(batch)
-        keys, starts, runs, text, joined, total = anchors(data)
-        on = _flag(keys)
-        good = np.flatnonzero((flags.value[on >> 3] >> (7 - (on & 7)).astype(np.uint8)) & 1)
-        keys, starts, runs, text = keys[good], starts[good], runs[good], text[good]
-        begins = np.cumsum([0, *(len(d) for d in data)])
-        _, down = Powers.take(len(joined) + 1)
-        out = np.zeros(len(keys), RECORD)
-        out["key"], out["run"], out["start"] = keys, runs, starts - begins[text]
-        out["doc"], out["tag"] = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in (0, 1))
-        ends = starts + runs + LENGTH - 1
-        out["whole"] = hashed((total[ends] - total[starts]) * down[starts] * np.uint64(_BASE) + (starts - starts).astype(np.uint64))
-        first = _firsts(out)
-        at = np.flatnonzero(first)
-        wide = np.concatenate([joined, np.zeros(STRETCH, np.uint8)])
-        for block in range(0, len(at), 50_000):
-            rows = at[block : block + 50_000]
-            window = wide[starts[rows][:, None] + np.arange(STRETCH)[None, :]]
-            window[np.arange(STRETCH)[None, :] >= (runs[rows] + LENGTH - 1)[:, None]] = 0
-            out["text"][rows] = np.ascontiguousarray(window).view(f"V{STRETCH}").reshape(-1)
-        return _with_marks(out, first)
 
-    def reduce(records: np.ndarray) -> pa.RecordBatch:
-        marked = records["run"] == 0
-        spans = joined_spans(np.concatenate([_unmarked(records[marked]), cell_repeats(records[~marked])]))
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(spans[c])) for c in SPAN.names], names=list(SPAN.names))
+def named_repeats(texts: DataFrame, flags: Broadcast) -> DataFrame:
+    """doc, tag, start, end of repeated stretches (key is null), and of those to compare further (key, whole)."""
+
+    def make(batch: pa.RecordBatch) -> np.ndarray | None:
+        ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)]
+        made = [stretches(*chunk, *ids, flags.value) for chunk in _chunks(batch.column(2).to_pylist())]
+        return np.concatenate(made) if made else None
 
     def combine(records: np.ndarray) -> np.ndarray:
         marked = records["run"] == 0
         own = records[~marked]
         return np.concatenate([records[marked], _with_marks(own, _firsts(own))])
 
-    return gather(ship(texts, make, cells, combine, rows=128), RECORD, reduce, "doc long, tag long, start int, end int")
+    def reduce(records: np.ndarray) -> pa.RecordBatch:
+        marked = records["run"] == 0
+        again, open_ones = cell_firsts(records[~marked])
+        spans = joined_spans(np.concatenate([_unmarked(records[marked]), again]))
+        rest = _spans(open_ones)
+        nothing = pa.nulls(len(spans), pa.int64())
+        columns = [pa.array(np.concatenate([spans[c], rest[c]])) for c in SPAN.names]
+        names = [pa.concat_arrays([nothing, pa.array(np.ascontiguousarray(open_ones[c]).view(np.int64))]) for c in ("key", "whole")]
+        return pa.RecordBatch.from_arrays([*columns, *names], names=[*SPAN.names, "key", "whole"])
+
+    cells = cells_for(texts.sparkSession)
+    shipped = ship(texts, make, cells, combine, rows=128, held_most=HELD_STRETCHES)
+    return gather(shipped, NAMED, reduce, "doc long, tag long, start int, end int, key long, whole long")
+
+
+def string_repeats(texts: DataFrame, open_ones: DataFrame) -> DataFrame:
+    """doc, tag, start, end of strings that some other of ``open_ones`` holds earlier."""
+    spark = texts.sparkSession
+    bits = spark.sparkContext.broadcast(bitmap(open_ones.select("doc")))
+    per_doc = open_ones.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end", "key", "whole")).alias("places")).withColumnRenamed("tag", "mark")
+    held = with_flag(texts, bits).withColumnRenamed("doc", "id").join(per_doc, (F.col("id") == F.col("doc")) & (F.col("tag") == F.col("mark")))
+    # rows equal in id and text are one document
+    rows = held.select("doc", "tag", "text", "places")
+
+    def make(batch: pa.RecordBatch) -> np.ndarray | None:
+        made = []
+        for doc, tag, text, places in zip(*(batch.column(c) for c in range(4))):
+            marks = places.values
+            out = np.zeros(len(marks), RECORD)
+            for name in ("start", "key", "whole"):
+                values = marks.field(name).to_numpy(zero_copy_only=False)
+                out[name] = values.view(np.uint64) if name != "start" else values
+            ends = marks.field("end").to_numpy(zero_copy_only=False)
+            out["doc"], out["tag"], out["run"] = doc.as_py(), tag.as_py(), ends - out["start"] - LENGTH + 1
+            data = np.frombuffer(text.as_py() + bytes(STRETCH), np.uint8)
+            window = data[out["start"].astype(np.int64)[:, None] + np.arange(STRETCH)[None, :]]
+            window[np.arange(STRETCH)[None, :] >= (ends - out["start"])[:, None]] = 0
+            out["text"] = np.ascontiguousarray(window).view(f"V{STRETCH}").reshape(-1)
+            made.append(out)
+        return np.concatenate(made) if made else None
+
+    def combine(records: np.ndarray) -> np.ndarray:  # rows equal in id and text
+        return records[_firsts(records)]
+
+    def reduce(records: np.ndarray) -> pa.RecordBatch:
+        spans = joined_spans(cell_repeats(records[_firsts(records)]))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(spans[c])) for c in SPAN.names], names=list(SPAN.names))
+
+    shipped = ship(rows, make, cells_for(spark), combine, rows=64, held_most=HELD_STRETCHES)
+    return gather(shipped, RECORD, reduce, "doc long, tag long, start int, end int")
 
 
 def _firsts(records: np.ndarray) -> np.ndarray:
@@ -352,7 +425,7 @@ def _firsts(records: np.ndarray) -> np.ndarray:
 def _with_marks(records: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The first stretches, and a mark (run 0, the end in ``whole``) for the joined spans of the others."""
     spans = joined_spans(_spans(records[~first]))
-    marks = np.zeros(len(spans), RECORD)
+    marks = np.zeros(len(spans), NAMED)
     for name in ("doc", "tag", "start"):
         marks[name] = spans[name]
     marks["whole"] = spans["end"].astype(np.uint64)
@@ -381,7 +454,9 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     rows = df.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias(doc), F.xxhash64(value).alias(tag), *[F.col(f"`{c}`") for c in keep], value.cast("binary").alias(body))
     texts = rows.select(F.col(doc).alias("doc"), F.col(tag).alias("tag"), F.col(body).alias("text"))
     flags = spark.sparkContext.broadcast(repeated_anchors(texts))
-    spans = materialize(repeats(texts, flags), "spans")
+    named = materialize(named_repeats(texts, flags), "named")
+    of_strings = materialize(string_repeats(texts, named.where("key IS NOT NULL")), "strings")
+    spans = named.where("key IS NULL").select("doc", "tag", "start", "end").unionAll(of_strings)
     bits = spark.sparkContext.broadcast(bitmap(spans.select("doc")))
     per_doc = spans.groupBy(F.col("doc").alias(doc), F.col("tag").alias(tag)).agg(F.collect_list(F.struct("start", "end")).alias(found))
     touched = with_flag(rows, bits).join(per_doc, [doc, tag], "left").select(*rows.columns, found)
