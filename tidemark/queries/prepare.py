@@ -9,7 +9,6 @@ from ..functions.numeric import non_negative
 from ..functions.text import model_slug
 from ..operators import filters, resample as rs
 from ..plans.session import scratch_path
-from ..plans.positions import choose_layout
 from ..sources.catalog import open_catalogue
 from ..sources.readings import coerce_measures, parse_date_time, read_readings, read_table
 from ..sources.sinks import export_view, write_result
