@@ -145,7 +145,8 @@ def explain_trees(model: PipelineModel, rows: DataFrame, features: Sequence[str]
                         phi[:, leaf.features] += _leaf_attribution(leaf, x)
             yield pd.Series(list(phi))
 
-    rows = rows.repartition(max(context.defaultParallelism, rows.rdd.getNumPartitions()))
+    tasks = max(context.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(tasks)  # a row costs a walk over all leaves: never in one task
     vector = F.struct(*[F.col(c).cast("double").alias(c) for c in features])
     return rows.select(*ids, F.lit(base).alias("base"), attribute(vector).alias("phi"))
 
