@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# Records a map task holds before it ships them, so its memory is bounded whatever its input.
-HELD = 1_500_000
+# Bytes of records that a map task holds before it ships them, so its memory is bounded whatever its input.
+HELD = 24_000_000
 
 
 def cells_for(spark: SparkSession) -> int:
@@ -44,11 +44,10 @@ def ship(
     cells: int,
     combine: Callable[[np.ndarray], np.ndarray] | None = None,
     rows: int = 256,
-    held_most: int = HELD,
 ) -> DataFrame:
     """(cell, records) rows from the records that ``make`` gives for slices of ``df``.
 
-    ``combine`` sees all records that a task ships at once, some ``held_most``, and returns those to ship.
+    ``combine`` sees all records that a task ships at once, some ``HELD`` bytes, and returns those to ship.
     """
 
     def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +71,8 @@ def ship(
                 made = make(batch.slice(start, rows))
                 if made is not None and len(made):
                     held.append(made)
-                    n += len(made)
-                    if n >= held_most:
+                    n += made.nbytes
+                    if n >= HELD:
                         yield from packed(held)
                         held, n = [], 0
         if held:

@@ -9,13 +9,14 @@ a large one can reach. The boundary is where enumerating subsets costs more rows
 
 Texts with equal sets are one class, and only classes are compared. Lists are turned into pairs in two rounds:
 
-1. Each list yields a number of pairs linear in its length (each member with its neighbour by size and with the
-   list's first member). Verified pairs give components.
+1. Each list yields a number of pairs linear in its length: each member with the list's centre, the class that
+   shares most of its first elements with others. Verified pairs give components.
 2. A list whose members all lie in one component is done, which is what happens to groups of copies however large
-   they are. Any other list yields all its pairs across components that sizes and positions allow, and they are
+   they are. Any other list yields all its pairs across components that sizes, positions and parities allow, and they are
    verified too. So no link is lost, and no group of copies is expanded.
 
-Candidates are verified on the sets, kept for the classes that have any, as 40-bit hashes.
+Candidates are verified on the classes' sets, first with elements cut off to 16 bits, which rejects most and never
+a link, then with the 64-bit hashes. Only texts of classes with candidates are shuffled for that.
 
 Null and empty texts have empty sets and are linked with nothing. Texts of fewer than five words have their whole
 word sequence as the only element. Null ids are allowed; rows that share an id are judged each.
@@ -33,17 +34,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import materialize
+from .bitmap import bitmap, with_flag
 from .common import map_slices
 from .components import components
-from .exchange import HELD, cells_for, gather, hashed, ship
+from .exchange import cells_for, gather, hashed, ship
 from .shingles import shingle_sets
 
 COUNTERS = 1 << 22
 PIECES = 64
 NO_ID = -(1 << 63)
 ENTRY = np.dtype([("key", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-MEMBER = np.dtype([*ENTRY.descr, ("comp", "<i8")])
-BLOCK = 2048
+SCORED = np.dtype([*ENTRY.descr, ("score", "<i8")])
+PARITY = 512
+# Pairs found in a cell before repeats among them are dropped.
+PAIRS = 500_000
+MEMBER = np.dtype([*ENTRY.descr, ("comp", "<i8"), ("parity", "<u8", (PARITY // 64,))])
+BLOCK = 512
+# Sets of more elements than this keep 32 bits of each in the first check.
+WIDE = 4096
 
 
 def needed(a, b):
@@ -52,7 +60,7 @@ def needed(a, b):
 
 
 def class_of(elements: np.ndarray) -> int:
-    """64-bit name of a set."""
+    """64-bit name of a set: two different ones share a name once in 2 ** 64 pairs."""
     return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
@@ -138,7 +146,7 @@ def entries(elements: np.ndarray, cls: int, levels: np.ndarray, light: int) -> n
         keys.append(hashed(ordered[i] * np.uint64(0x9E3779B97F4A7C15) + hashed(ordered[j])))
         places.append(j - 1)
     if 4 * n > 3 * light:
-        keys.append(ordered[: first - 1])
+        keys.append(hashed(ordered[: first - 1]))  # the first by hash are small: mixed, they spread over all cells
         places.append(np.arange(min(first - 1, n)))
     out = np.empty(sum(map(len, keys)), ENTRY)
     out["key"], out["pos"], out["cls"], out["n"] = np.concatenate(keys), np.concatenate(places), cls, n
@@ -167,33 +175,42 @@ def _unique_pairs(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def linear_pairs(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbours by size and of first members, and the records of lists in which any pair is possible."""
+def useful_lists(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The records of lists in which any pair is possible, and the lengths of their lists."""
     r = records[np.lexsort((records["cls"], records["n"], records["key"]))]
     if len(r) > 1:  # one record for a class in a list
         r = r[np.r_[True, (r["key"][1:] != r["key"][:-1]) | (r["cls"][1:] != r["cls"][:-1])]]
     edges = _runs(r["key"])
-    length = np.repeat(np.diff(edges), np.diff(edges))
-    r, start = r[length > 1], np.repeat(edges[:-1], np.diff(edges))[length > 1]
-    if not len(r):
-        return np.zeros((0, 2), np.int64), r
-    edges = _runs(r["key"])
-    size = np.diff(edges)
-    first = np.repeat(edges[:-1], size)
-    least = first + 0
-    for a, b in zip(edges[:-1][size > 2], edges[1:][size > 2]):
-        least[a:b] = a + np.argmin(r["cls"][a:b])
+    size = np.repeat(np.diff(edges), np.diff(edges))
+    first = np.repeat(edges[:-1], np.diff(edges))
     here = np.arange(len(r))
-    parts = []
-    for other in (np.maximum(here - 1, first), first, least):
-        x, y = r[here], r[other]
-        good = _possible(x, y)
-        parts.append(_pair_codes(x[good], y[good]))
-    # a list is of further use if some two members may be linked: then also two neighbours by size may, by size alone
+    # some two members may be linked only if two neighbours by size may, by size alone
     near = here[1:][(first[1:] == first[:-1]) & (4 * r["n"][:-1].astype(np.int64) >= 3 * r["n"][1:].astype(np.int64))]
-    useful = np.zeros(len(r), bool)
-    useful[np.isin(first, first[near])] = True
-    return _unique_pairs(parts), r[useful]
+    useful = np.isin(first, first[near])
+    return r[useful], size[useful]
+
+
+def star_pairs(records: np.ndarray) -> np.ndarray:
+    """Possible pairs of each member with its list's centre, the class of the largest score."""
+    r = records[np.lexsort((records["cls"], records["score"], records["key"]))]
+    edges = _runs(r["key"])
+    centre = r[np.repeat(edges[1:] - 1, np.diff(edges))] if len(r) else r
+    good = _possible(r, centre)
+    pairs = _pair_codes(r[good], centre[good])
+    return np.unique(pairs, axis=0) if len(pairs) else pairs
+
+
+def parity_of(elements: np.ndarray) -> bytes:
+    """For each of ``PARITY`` classes of elements, whether the set has an odd number of them."""
+    odd = np.bincount((elements & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """False only if sets can't be linked: each class whose parity differs holds an element of just one of them."""
+    a, b = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    differ = np.bitwise_count(x["parity"] ^ y["parity"]).sum(axis=1, dtype=np.int64)
+    return differ <= a + b - 2 * needed(a, b)
 
 
 def cross_pairs(records: np.ndarray) -> np.ndarray:
@@ -212,10 +229,12 @@ def cross_pairs(records: np.ndarray) -> np.ndarray:
             for j in range(i, last, BLOCK):
                 y = own[j : min(j + BLOCK, last)]
                 p, q = np.nonzero((x["comp"][:, None] != y["comp"][None, :]) & _possible(x[:, None], y[None, :]))
+                near = _alike(x[p], y[q])
+                p, q = p[near], q[near]
                 if len(p):
                     parts.append(_pair_codes(x[p], y[q]))
                     held += len(p)
-                    if held > HELD:
+                    if held > PAIRS:
                         parts, held = [_unique_pairs(parts)], 0
     return _unique_pairs(parts)
 
@@ -223,36 +242,96 @@ def cross_pairs(records: np.ndarray) -> np.ndarray:
 # -- verification --
 
 
-def pack40(elements: np.ndarray) -> bytes:
-    return elements.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def pack_short(elements: np.ndarray) -> bytes:
+    """The low 16 bits of every element, of large sets the low 32."""
+    return elements.astype("<u2" if len(elements) <= WIDE else "<u4").tobytes()
 
 
-def unpack40(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.reshape(-1).view(">u8").astype(np.int64)
+def unpack_short(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if n <= WIDE else "<u4")
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether sorted sets overlap by at least three quarters."""
-    if not 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)):
-        return False
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """Sorted codes in which the k-th repeat of a value differs from its others."""
+    v = np.sort(values).astype(np.int64)
+    here = np.arange(len(v))
+    new = np.r_[True, v[1:] != v[:-1]] if len(v) else np.zeros(0, bool)
+    return v << 24 | (here - np.maximum.accumulate(np.where(new, here, 0)))
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two arrays without repeats."""
     both = np.concatenate([a, b])
     both.sort(kind="stable")
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= 75 * (len(a) + len(b) - common)
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are linked."""
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
+def enough(common: int, a: int, b: int) -> bool:
+    return 100 * common >= 75 * (a + b - common)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [linked(unpack40(x), unpack40(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        return pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(map_slices(both, run, "a long, b long").distinct(), "links")
+def may_link(x: bytes, n: int, y: bytes, m: int) -> bool:
+    """False only if the sets can't be linked: cut-off elements never have fewer in common."""
+    a, b = unpack_short(x, n), unpack_short(y, m)
+    if a.dtype != b.dtype:
+        a, b = a.astype(np.uint16), b.astype(np.uint16)
+    return enough(overlap(_numbered(a), _numbered(b)), n, m)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets overlap by at least three quarters."""
+    return enough(overlap(a, b), len(a), len(b))
+
+
+class Verifier:
+    """Decides candidate pairs of classes: by cut-off elements first, the few that are left by the full sets."""
+
+    def __init__(self, texts: DataFrame, documents: DataFrame):
+        self.texts, self.documents = texts, documents  # doc, text; cls, doc of one document each
+
+    def elements(self, classes: DataFrame, short: bool) -> DataFrame:
+        """cls, n, elements, parity of the classes, from the texts of their documents; other texts are not shuffled."""
+        spark = classes.sparkSession
+        chosen = materialize(self.documents.join(classes, "cls", "left_semi"), "chosen")
+        bits = spark.sparkContext.broadcast(bitmap(chosen.select("doc")))
+        def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = shingle_sets(batch.column(1).to_pylist())
+            keep = [class_of(s) == c for s, c in zip(found, batch.column(0).to_pylist())]  # rows may share an id
+            packed = [pack_short(s) if short else s.tobytes() for s in found]
+            columns = [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(packed, pa.binary()), pa.array(map(parity_of, found), pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["cls", "n", "elements", "parity"]).filter(pa.array(keep, pa.bool_()))
+
+        rows = with_flag(self.texts, bits).join(chosen, "doc").select("cls", "text")
+        return materialize(map_slices(rows, sets, "cls long, n long, elements binary, parity binary"), "sets")
+
+    def decide(self, pairs: DataFrame, sets: DataFrame, short: bool) -> DataFrame:
+        left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("elements").alias("x")), "a")
+        both = left.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("elements").alias("y")), "b")
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in range(2, 6))):
+                keep.append(may_link(x, n, y, m) if short else linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+            return pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return materialize(map_slices(both.select("a", "b", "n", "m", "x", "y"), run, "a long, b long").distinct(), "pairs")
+
+    def links(self, pairs: DataFrame, short_sets: DataFrame) -> DataFrame:
+        left = self.decide(pairs, short_sets, short=True)
+        classes = left.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        return self.decide(left, self.elements(classes, short=False), short=False)
+
+
+def _packed(batch: pa.RecordBatch, dtype: np.dtype) -> np.ndarray:
+    """Records from the columns of a batch, in the order of the fields."""
+    out = np.empty(batch.num_rows, dtype)
+    for name, column in zip(dtype.names, batch.columns):
+        if name == "parity":
+            out[name] = np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(batch.num_rows, -1)
+        else:
+            values = column.to_numpy(zero_copy_only=False)
+            out[name] = values.view(np.uint64) if name == "key" else values
+    return out
 
 
 def class_links(df: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,57 +350,46 @@ def class_links(df: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text:
         r = records[order]
         return r[np.r_[True, (r["key"][1:] != r["key"][:-1]) | (r["cls"][1:] != r["cls"][:-1])]]
 
-    def first_round(records: np.ndarray) -> pa.RecordBatch:
-        pairs, lists = linear_pairs(records)
-        return pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary()), pa.array([lists.tobytes()], pa.binary())], names=["pairs", "lists"])
+    def lists_of(records: np.ndarray) -> pa.RecordBatch:
+        found, size = useful_lists(records)
+        columns = [found["key"].view(np.int64), found["cls"], found["n"].astype(np.int64), found["pos"].astype(np.int64), size]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "cls", "n", "pos", "size"])
 
     shipped = ship(texts.select("text"), make, cells, combine)
-    round1 = materialize(gather(shipped, ENTRY, first_round, "pairs binary, lists binary"), "round1")
+    lists = materialize(gather(shipped, ENTRY, lists_of, "key long, cls long, n long, pos long, size long"), "lists")
 
-    def unpack_pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pair = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column(0).to_pylist()])
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+    def pack_scored(batch: pa.RecordBatch) -> np.ndarray:
+        return _packed(batch, SCORED)
 
-    def unpack_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
-        r = np.concatenate([np.frombuffer(x, ENTRY) for x in batch.column(0).to_pylist()])
-        columns = [r["key"].view(np.int64), r["cls"], r["n"].astype(np.int64), r["pos"].astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "cls", "n", "pos"])
+    def centres(records: np.ndarray) -> pa.RecordBatch:
+        pair = star_pairs(records)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    pairs1 = materialize(map_slices(round1.select("pairs"), unpack_pairs, "a long, b long", rows=16).distinct(), "pairs")
-    lists = map_slices(round1.select("lists"), unpack_lists, "key long, cls long, n long, pos long", rows=16)
+    # a class whose first elements many others share is what copies were made from: the best centre
+    scores = lists.groupBy("cls").agg(F.sum("size").alias("score"))
+    scored = lists.select("key", "cls", "n", "pos").join(scores, "cls").select("key", "cls", "n", "pos", "score")
+    pairs1 = materialize(gather(ship(scored, pack_scored, cells, rows=50_000), SCORED, centres, "a long, b long").distinct(), "pairs")
 
-    # the sets of all classes that any round may compare, from the text of one document each
-    wanted = lists.select("cls").distinct()
     one = scanned.where("piece IS NULL AND n > 1").groupBy("cls").agg(F.min(F.coalesce("doc", F.lit(NO_ID))).alias("doc"))
-    chosen = materialize(one.join(wanted, "cls", "left_semi"), "chosen")
-
-    def elements(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = shingle_sets(batch.column(1).to_pylist())
-        keep = [class_of(s) == c for s, c in zip(found, batch.column(0).to_pylist())]  # rows may share an id
-        made = pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack40(s) for s in found], pa.binary())], names=["cls", "elements"])
-        return made.filter(pa.array(keep, pa.bool_()))
+    verifier = Verifier(texts, one)
+    short = verifier.elements(lists.select("cls").distinct(), short=True)  # of all classes that any round compares
 
-    sets = materialize(map_slices(texts.join(chosen, "doc").select("cls", "text"), elements, "cls long, elements binary"), "sets")
-
-    links1 = _verified(pairs1, sets)
+    links1 = verifier.links(pairs1, short)
     found1 = materialize(components(links1), "components")
 
-    member = lists.join(found1.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp"))
+    known = short.select("cls", "parity").join(found1.withColumnRenamed("node", "cls"), "cls", "left")
+    member = lists.join(known, "cls").select("key", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp"), "parity")
 
     def pack_members(batch: pa.RecordBatch) -> np.ndarray:
-        out = np.empty(batch.num_rows, MEMBER)
-        for name, column in zip(("key", "cls", "n", "pos", "comp"), batch.columns):
-            values = column.to_numpy(zero_copy_only=False)
-            out[name] = values.view(np.uint64) if name == "key" else values
-        return out
+        return _packed(batch, MEMBER)
 
     def second_round(records: np.ndarray) -> pa.RecordBatch:
         pair = cross_pairs(records)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    round2 = gather(ship(member, pack_members, cells, rows=100_000), MEMBER, second_round, "a long, b long").distinct()
+    round2 = gather(ship(member, pack_members, cells, rows=10_000), MEMBER, second_round, "a long, b long").distinct()
     pairs2 = materialize(round2.join(pairs1, ["a", "b"], "left_anti"), "pairs")
-    links2 = _verified(pairs2, sets)
+    links2 = verifier.links(pairs2, short)
     return materialize(components(links2.unionAll(found1.select(F.col("node").alias("a"), F.col("root").alias("b")))), "components")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..plans.session import materialize
 from .bitmap import bitmap, with_flag
 from .common import free_name, map_slices
-from .exchange import cell_of, cells_for, gather, hashed, ship
+from .exchange import cells_for, gather, hashed, ship
 from .shingles import _BASE, Powers
 
 LENGTH = 100
@@ -45,8 +45,7 @@ STRETCH = LENGTH + SPREAD - 1
 FLAGS = 1 << 27
 # Stretches of one shard.
 SHARD = 5_000
-# Stretches that a map task holds before it ships them, and bytes of text that it hashes at a time.
-HELD_STRETCHES = 100_000
+# Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
 NO_ID = -(1 << 63)
 
@@ -93,7 +92,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     own = anchor[starts]
     edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
     first = edges[:-1]
-    return grams[own[first]], starts[first], np.diff(edges), text[first], joined, total
+    # smallest hashes are small: mixed again, they spread over all cells and flags
+    return hashed(grams[own[first]]), starts[first], np.diff(edges), text[first], joined, total
 
 
 def _flag(keys: np.ndarray) -> np.ndarray:
@@ -371,7 +371,7 @@ def named_repeats(texts: DataFrame, flags: Broadcast) -> DataFrame:
         return pa.RecordBatch.from_arrays([*columns, *names], names=[*SPAN.names, "key", "whole"])
 
     cells = cells_for(texts.sparkSession)
-    shipped = ship(texts, make, cells, combine, rows=128, held_most=HELD_STRETCHES)
+    shipped = ship(texts, make, cells, combine, rows=128)
     return gather(shipped, NAMED, reduce, "doc long, tag long, start int, end int, key long, whole long")
 
 
@@ -408,7 +408,7 @@ def string_repeats(texts: DataFrame, open_ones: DataFrame) -> DataFrame:
         spans = joined_spans(cell_repeats(records[_firsts(records)]))
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(spans[c])) for c in SPAN.names], names=list(SPAN.names))
 
-    shipped = ship(rows, make, cells_for(spark), combine, rows=64, held_most=HELD_STRETCHES)
+    shipped = ship(rows, make, cells_for(spark), combine, rows=64)
     return gather(shipped, RECORD, reduce, "doc long, tag long, start int, end int")
 
 
