@@ -29,7 +29,7 @@ from ..plans.session import materialize
 from .common import buckets_for, free_name, map_slices, ranked_in
 
 CAPACITY = 2048
-MEMO = 400_000
+MEMO = 100_000
 
 
 # -- planning on the histogram --
