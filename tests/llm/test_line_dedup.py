@@ -64,3 +64,47 @@ def test_first_of_each_digest():
     records["key"], records["doc"], records["start"] = [5, 5, 5, 9, 9, 5, 7, 7, 7], [3, 1, 2, 1, 1, 1, 4, 4, 3], [0, 4, 0, 2, 8, 4, 1, 1, 0]
     ordered, first = ld._first_per_digest(records)
     assert [(int(r["key"]), int(r["doc"]), int(r["start"])) for r in ordered[first]] == [(5, 1, 4), (5, 1, 4), (7, 3, 0), (9, 1, 2)]
+
+
+def brute_runs(rows, width):
+    """Words that lie in a run of ``width`` words that starts earlier, less the first occurrence that the run overlaps."""
+    seen, out = {}, {}
+    for doc, text in sorted(rows):
+        words = text.lower().split()
+        gone = [False] * len(words)
+        for i in range(len(words) - width + 1):
+            first = seen.setdefault(tuple(words[i : i + width]), (doc, i))
+            own = min(k for k in range(i + 1) if words[k : k + width] == words[i : i + width])
+            if first != (doc, i):
+                for j in range(own + width if own < i < own + width else i, i + width):
+                    gone[j] = True
+        out[doc] = gone
+    return out
+
+
+def test_passages_go_whatever_the_units(spark):
+    rng = random.Random(12)
+
+    def fresh(n):
+        return [rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n)]
+
+    def short(words):  # sentences of three words, none of which is hashed as a unit
+        return " ".join(w + ("." if i % 3 == 2 else "") for i, w in enumerate(words))
+
+    passages = [short(fresh(n)) for n in (50, 60, 75, 140)] + [" ".join(fresh(n)) for n in (50, 55, 90)]  # and inside a sentence
+    rows = []
+    for i in range(80):
+        text = " ".join(fresh(rng.randint(5, 30)))
+        if i % 4:
+            text += rng.choice([" ", "  ", "\n"]) + rng.choice([str.upper, str])(rng.choice(passages)) + rng.choice([" ", "\n"]) + " ".join(fresh(rng.randint(5, 30)))
+        rows.append((i, text))
+    rows += [(100, "la " * 200), (101, "la " * 70), (102, "x y z " * 40 + "end"), (103, rows[3][1]), (104, " ".join(passages[4].split()[:49]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want, texts = brute_runs(rows, 50), dict(rows)
+    got = {r.doc_id: r for r in ld.dedup(df, min_words=10**6).collect()}
+    for d, gone in want.items():
+        assert got[d].text.split() == [w for w, g in zip(texts[d].split(), gone) if not g], d
+    whole = {r.doc_id: r.text for r in ld.dedup(df).collect()}
+    for p in passages:  # the earliest copy stays, no other one
+        held = [d for d, t in sorted(texts.items()) if p.lower().split()[0] in t.lower().split() and d < 100]
+        assert len(held) > 1 and [d for d in held if p.lower().split()[20] in whole[d].lower().split()] == held[:1]
