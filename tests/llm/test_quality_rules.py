@@ -56,3 +56,20 @@ def test_sketches_merge_and_keep_their_accuracy(spark):
     halves = qr.sketch(counts.where("doc_id < 20")).unionAll(qr.sketch(counts.where("doc_id >= 20")))
     keys = ["lang", "source", "measure", "bucket"]
     assert sorted(halves.groupBy(*keys).agg(F.sum("n")).collect()) == sorted(qr.sketch(counts).select(*keys, "n").collect())
+
+
+def test_fences_decide_by_the_group_alone(spark):
+    rng = random.Random(8)
+
+    def long_words(rng, least, most, n=60):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(least, most))) for _ in range(n))
+
+    rows = [(i, good(rng), "en", "a") for i in range(300)] + [(1000 + i, long_words(rng, 9, 13), "de", "b") for i in range(300)]
+    rows += [(2000, good(rng) + " ### ", "en", "a"), (2001, good(rng) + " " + good(rng) + " #####" * 3, "en", "a")]  # a few; 0.025 of the characters
+    rows += [(2002, long_words(rng, 8, 9), "en", "a"), (2003, long_words(rng, 3, 4), "de", "b")]  # usual elsewhere
+    lines = [long_words(rng, 3, 7, 6) for _ in range(31)]
+    rows += [(2004, "\n".join([*lines, *lines[:1] * 8]), "en", "a"), (2005, "\n".join([*lines, *lines[:3]]), "en", "a")]  # 8 of 39 lines again; 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = {r.doc_id: r for r in qr.judge(qr.text_counts(df)).collect()}
+    assert all(judged[i].kept for i in [*range(300), *range(1000, 1300), 2000, 2005])
+    assert not any(judged[i].base_failed or judged[i].kept for i in (2001, 2002, 2003, 2004))

@@ -4,9 +4,9 @@ One pass over the texts counts what the rules need (``text_counts``). Each rule'
 a mergeable quantile sketch per (lang, source): counts of logarithmic buckets with a relative error of
 ``ACCURACY``, so sketches add up in map-side partial aggregates, a source that holds most rows is no
 burden, and a group with fewer than ``min_rows`` rows borrows the merged sketch of its language, or of
-all rows. Fences come from the sketch quartiles, and a join on (lang, source) applies them. A fence
-never lies inside ``FLOORS``, the values that any clean text may have, so groups in which a measure
-hardly varies keep their clean texts.
+all rows. Fences come from the sketch quartiles alone, and a join on (lang, source) applies them. In groups
+in which a share hardly varies the spread is that of the text's own count: a share of a short text doesn't
+resolve less than one event (``EVENT``), so a few of them reject no clean text.
 
 Null and empty texts have no words and fail the base rules. Null languages and sources form groups.
 Repeated rows are judged each. Other columns pass through ``filter_documents`` unchanged.
@@ -33,12 +33,11 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 WINDOW = 8
 
-# measure -> (lowest, highest) value that never rejects; None: that side has no fence
-FLOORS: Mapping[str, tuple[float | None, float | None]] = {
-    "symbol_share": (None, 0.03),
-    "mean_word": (3.0, 9.0),
-    "dup_line_share": (None, 0.5),
-    "repeat_share": (None, 0.29),
+# measure that is a share -> its count, of what, and how much one event counts; these have no lowest value
+EVENT: Mapping[str, tuple[str, str, int]] = {
+    "symbol_share": ("n_symbols", "word_chars", 1),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1),
+    "repeat_share": ("n_repeat_words", "n_words", WINDOW),
 }
 # A fence is this many times the distance from the median to the quartile on its side away from the median.
 REACH = 6.0
@@ -137,7 +136,7 @@ def _quartiles(sketches: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 
 
 def thresholds(sketches: DataFrame, min_rows: int = 200, reach: float = REACH) -> DataFrame:
-    """lang, source, and a lowest and highest value for each measure (``low_``, ``high_``)."""
+    """lang, source, and a median, lowest and highest value for each measure (``mid_``, ``low_``, ``high_``)."""
     own = _quartiles(sketches, ["lang", "source"], "s_")
     of_lang = _quartiles(sketches, ["lang"], "l_")
     of_all = _quartiles(sketches, [], "a_")
@@ -147,23 +146,27 @@ def thresholds(sketches: DataFrame, min_rows: int = 200, reach: float = REACH) -
         for q in ("q1", "q2", "q3")
     )
     below, above = (F.greatest(distance, LEAST * q2) for distance in (q2 - q1, q3 - q2))
-    fences = both.select("lang", "source", "measure", (q2 - reach * below).alias("low"), (q2 + reach * above).alias("high"))
-    columns = []
-    for m in measures():
-        low, high = FLOORS[m]
-        own_row = F.col("measure") == m
-        columns.append((F.lit(None).cast("double") if low is None else F.least(F.lit(low), F.max(F.when(own_row, F.col("low"))))).alias(f"low_{m}"))
-        columns.append((F.lit(None).cast("double") if high is None else F.greatest(F.lit(high), F.max(F.when(own_row, F.col("high"))))).alias(f"high_{m}"))
+    fences = both.select("lang", "source", "measure", q2.alias("mid"), (q2 - reach * below).alias("low"), (q2 + reach * above).alias("high"))
+    columns = [F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{c}_{m}") for m in measures() for c in ("mid", "low", "high")]
     return fences.groupBy("lang", "source").agg(*columns)
 
 
+def within(measure: str, value: Column, reach: float) -> Column:
+    """Whether a row's value lies inside its fences."""
+    below = value <= F.col(f"high_{measure}")
+    if measure not in EVENT:
+        return below & (value >= F.col(f"low_{measure}"))
+    count, of, event = EVENT[measure]
+    return below | (F.col(count) <= F.col(f"mid_{measure}") * F.col(of) + reach * event)
+
+
 def judge(counts: DataFrame, min_rows: int = 200, reach: float = REACH) -> DataFrame:
     """``counts`` (a written table of ``text_counts`` with lang and source) with ``base_failed`` and ``kept``."""
     limits = thresholds(sketch(counts), min_rows, reach)
     joined = null_safe_join(counts, limits, ["lang", "source"])
     inside = F.lit(True)
     for m, value in measures().items():
-        inside = inside & F.coalesce(value >= F.col(f"low_{m}"), F.lit(True)) & F.coalesce(value <= F.col(f"high_{m}"), F.lit(True))
+        inside = inside & within(m, value, reach)
     return joined.select(*[F.col(f"`{c}`") for c in counts.columns], base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
 
 
