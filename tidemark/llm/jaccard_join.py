@@ -19,7 +19,9 @@ Candidates are verified on the classes' sets, first with elements cut off to 16
 a link, then with the 64-bit hashes. Only texts of classes with candidates are shuffled for that.
 
 Null and empty texts have empty sets and are linked with nothing. Texts of fewer than five words have their whole
-word sequence as the only element. Null ids are allowed; rows that share an id are judged each.
+word sequence as the only element. Null ids are allowed; rows that share an id are judged each. ``keep_one`` keeps
+one row of each component, the one with the smallest id (null ids last), and of equal rows one; texts without words
+all stay.
 """
 
 from __future__ import annotations
@@ -72,11 +74,11 @@ def _slot(elements: np.ndarray) -> np.ndarray:
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, n, cls for every row, and piece, counts for each task's part of the sketch (piece is null in the former)."""
+    """doc, n, cls, tag (hash of the text) for every row, and piece, counts for each task's part of the sketch (piece is null in the former)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int32)
-        names = ["doc", "n", "cls", "piece", "counts"]
+        names = ["doc", "n", "cls", "tag", "piece", "counts"]
         seen = False
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -90,15 +92,15 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
                     else:
                         np.add.at(counts, slots, 1)
                 nothing = pa.nulls(len(sets))
-                columns = [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.binary())]
+                columns = [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), part.column(2), nothing.cast(pa.int32()), nothing.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         if seen:
             blobs = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PIECES)]
             nothing = pa.nulls(PIECES, pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "doc long, n long, cls long, piece int, counts binary"), "scan")
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("tag"))
+    return materialize(rows.mapInArrow(run, "doc long, n long, cls long, tag long, piece int, counts binary"), "scan")
 
 
 def order_levels(scanned: DataFrame) -> tuple[np.ndarray, int]:
@@ -393,12 +395,17 @@ def class_links(df: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text:
     return materialize(components(links2.unionAll(found1.select(F.col("node").alias("a"), F.col("root").alias("b")))), "components")
 
 
-def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links) for every row of ``df``."""
+def _placed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc, n, cls, tag, root of its component for every row of ``df``."""
     scanned = scan(df, doc_id, text)
     roots = class_links(df, scanned, doc_id, text)
-    docs = scanned.where("piece IS NULL").select("doc", "n", "cls")
-    placed = docs.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc", "n", F.coalesce("root", "cls").alias("root"))
+    docs = scanned.where("piece IS NULL").select("doc", "n", "cls", "tag")
+    return docs.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc", "n", "cls", "tag", F.coalesce("root", "cls").alias("root"))
+
+
+def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links) for every row of ``df``."""
+    placed = _placed(df, doc_id, text).select("doc", "n", "root")
     least = placed.where("n > 0").groupBy("root").agg(F.min("doc").alias("least"))
     out = placed.join(least, "root", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
@@ -406,6 +413,20 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that are the first of their component: its smallest id."""
-    found = join(df, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(found, df[doc_id] == found["__gone"], "left_anti")
+    """One row of each component of ``df``: of its smallest id (null ids last), and of equal ids and texts any one."""
+    # a row is known by its id and text; equal ones have one class, so one component
+    placed = _placed(df, doc_id, text).where("n > 0").groupBy("root", "doc", "cls", "tag").agg(F.count(F.lit(1)).alias("n"))
+    row = F.struct(F.col("doc").isNull().alias("last"), "doc", "cls", "tag")
+    first = placed.groupBy(F.col("root").alias("of")).agg(F.min(row).alias("first"))
+    judged = placed.join(first, F.col("root") == F.col("of")).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), "n", (row != F.col("first")).alias("gone"))
+    judged = materialize(judged.where("gone OR n > 1"), "judged")
+
+    def match(other: DataFrame):
+        return df[doc_id].cast("long").eqNullSafe(other["__doc"]) & (F.xxhash64(df[text].cast("string")) == other["__tag"])
+
+    kept = df.join(judged, match(judged), "left_anti")
+    repeated = judged.where("NOT gone")
+    if repeated.isEmpty():
+        return kept
+    several = df.join(repeated, match(repeated), "left_semi").withColumn("__tag", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    return kept.unionAll(several.dropDuplicates([doc_id, "__tag"]).drop("__tag"))
