@@ -12,7 +12,7 @@ from ..operators.profile import forecast_summary
 from ..operators.split import split_chronological
 from ..plans.session import materialize, scratch_path
 from ..sources.sinks import load_model, save_model
-from .base import HOURLY_SQL, TOTAL, WEEKLY, features, hourly, longs, rounded, user_hourly
+from .base import DAILY, HOURLY_SQL, TOTAL, WEEKLY, features, hourly, longs, minutely, rounded, user_hourly
 
 # Small ensembles keep the registered queries short; the library defaults are the full-size ones.
 SMALL_FOREST = {"numTrees": 20, "maxDepth": 6}
@@ -50,7 +50,7 @@ FROM l JOIN components USING (ts) WHERE lag_48 IS NOT NULL AND trend IS NOT NULL
 
 
 def stl(spark, d):
-    return rounded(decompose.stl(hourly(spark, d), "power", layout=WEEKLY, outer=3), "observed", "trend", "seasonal", "residual")
+    return rounded(decompose.stl(hourly(spark, d), "power", layout=WEEKLY), "observed", "trend", "seasonal", "residual")
 
 
 def stl_panel(spark, d):
@@ -66,7 +66,7 @@ def iforest(spark, d):
 
 def all_detectors(spark, d):
     h = hourly(spark, d)
-    flags = isolation_forest.detect_isolation_forest(h, ["power", *TOTAL], trees=50)
+    flags = isolation_forest.detect_isolation_forest(h, ["power", *TOTAL])
     return rounded(combined_anomalies(h, "power", iforest=flags, layout=WEEKLY), "value")
 
 
@@ -154,11 +154,13 @@ def future_summary(spark, d):
 
 
 def adf(spark, d):
-    return rounded(arima.adf_test(hourly(spark, d), "power", max_lag=12, layout=WEEKLY), "statistic", "p_value")
+    h = hourly(spark, d)
+    lag = arima.default_max_lag(h.where("power IS NOT NULL").count())
+    return rounded(arima.adf_test(h, "power", max_lag=lag, layout=WEEKLY), "statistic", "p_value")
 
 
 def sarima(spark, d):
-    out = arima.sarima_forecast(hourly(spark, d), "power", train_size=400, test_size=150, layout=WEEKLY)
+    out = arima.sarima_forecast(minutely(spark, d), "power", layout=DAILY)
     return rounded(out, "actual", "predicted")
 
 
@@ -207,10 +209,9 @@ def tree_shapley_check(spark, d):
 
 
 def any_shapley(spark, d):
-    train, test, _ = _split(spark, d)
-    names = ["lag_1", "lag_24", "rolling_mean_24", "hour_sin"]
+    train, test, names = _split(spark, d)
     model = models.train_linear(train, names, "power")
-    long = explain.explain_any(model.transform, test, train, names, background_size=50, permutations=3)
+    long = explain.explain_any(model.transform, test, train, names)
     return rounded(explain.importance(long), "mean_shap")
 
 
