@@ -95,3 +95,18 @@ def test_digest_format(spark):
     df = spark.createDataFrame([(1, "x@y.z 1.2.3.4")], "doc_id long, text string")
     row = pii.find(df).select(F.sha2(pii.joined(F.col("base")), 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"email:0:5,ip:6:13").hexdigest()
+
+
+def test_overlapping_spans_are_masked_to_the_last_end(spark):
+    rows = [(1, "at 10.0.0.4111 1111 1111 1111 and"), (2, "at 10.0.0.4 4111 1111 1111 1111 and"), (3, "call +1 (201) 555-1000@b.cd now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {d: brute(t) for d, t in rows}
+    masked = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    overlaps = 0
+    for d, text in rows:
+        want, at = "", 0
+        for start, k, end in spans[d]:
+            overlaps += start < at < end
+            want, at = (want + text[at:start] + f"<{list(BASE)[k]}>", end) if start >= at else (want, max(at, end))
+        assert masked[d] == want + text[at:], (spans[d], masked[d])
+    assert overlaps and masked[3] == "call <phone> now"

@@ -163,7 +163,7 @@ def joined(spans: Column) -> Column:
 
 
 def mask(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """``df`` with every span of ``text`` replaced by its kind in angle brackets; of spans that overlap, the first."""
+    """``df`` with every span of ``text`` replaced by its kind in angle brackets; spans that overlap are one, of the first's kind."""
     spans = find(df, doc_id, text, rounds).select("key", F.array_sort(F.concat("base", "found")).alias("__spans")).where(F.size("__spans") > 0)
     spans = spans.withColumnRenamed("key", "__key").dropDuplicates(["__key"])
     rows = df.withColumn("__key", F.xxhash64(F.col(f"`{doc_id}`"), text_or_empty(text)))
@@ -175,7 +175,8 @@ def mask(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int
         gap = F.substr(own, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
         out = F.concat(done["out"], gap, names[s["kind"]])
         taken = F.struct(s["end"].alias("at"), out.alias("out"))
-        return F.when(s["start"] >= done["at"], taken).otherwise(done)
+        longer = F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out"))
+        return F.when(s["start"] >= done["at"], taken).otherwise(longer)
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate("__spans", begin, step, lambda done: F.concat(done["out"], F.substr(own, done["at"] + 1, F.length(own))))
