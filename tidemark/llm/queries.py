@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import importance, jaccard_join, line_dedup, packing, pii, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, topk_search
+from . import hard_negatives, importance, jaccard_join, line_dedup, packing, pii, quality_rules, resampling, sentencepiece_bpe, sharding, suffix_dedup, topk_search
 from ..plans.session import materialize
 from .common import documents
 
@@ -29,8 +29,8 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 p AS (
   SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
@@ -110,6 +110,82 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by how much their words are like those of the benchmark."""
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+steps AS (SELECT i, c FROM bits WHERE k = 8),
+f AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+g AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark),
+w AS (SELECT DISTINCT word FROM (SELECT unnest(words) AS word FROM f UNION ALL SELECT word FROM g)),
+longest AS (SELECT max(octet_length(encode(word))) AS most FROM w),
+positions(back, i, v) AS (
+  SELECT 0, i, c FROM steps
+  UNION ALL SELECT back + 1, p.i, xor(s.c, v >> 8) FROM positions p JOIN steps s ON s.i = v % 256, longest WHERE back + 1 < most),
+zeros(n, v) AS (
+  SELECT 0, 4294967295
+  UNION ALL SELECT n + 1, xor(c, v >> 8) FROM zeros JOIN steps ON i = v % 256, longest WHERE n < most),
+bytes AS (SELECT word, hex(encode(word)) AS h, octet_length(encode(word)) AS n, unnest(range(CAST(octet_length(encode(word)) AS BIGINT))) AS place FROM w),
+codes AS (
+  SELECT word, n, n - 1 - place AS back,
+    16 * (instr('0123456789ABCDEF', substr(h, 2 * place + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * place + 2, 1)) - 1 AS i
+  FROM bytes),
+linear AS (SELECT word, any_value(n) AS n, bit_xor(v) AS v FROM codes JOIN positions USING (back, i) GROUP BY word),
+b AS (SELECT word, xor(xor(linear.v, zeros.v), 4294967295) % 10000 AS bucket FROM linear JOIN zeros USING (n)),
+d AS (SELECT doc_id, unnest(words) AS word FROM f),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN b USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN b USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT sum(s) FROM s) AS s_all, (SELECT coalesce(sum(t), 0) FROM t) AS t_all),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket), n),
+m AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM d JOIN b USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+h AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM documents LEFT JOIN m USING (doc_id)),
+v AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM h),
+r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM v WHERE n_features >= 20
+  QUALIFY rank <= (SELECT 10 * count(*) // 100 FROM v WHERE n_features >= 20))
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, rank FROM v LEFT JOIN r USING (doc_id)"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five nearest rows of the same label, for every 100th vector."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), label.cast("long").alias("label"), topk_search.scaled(F.col("embedding")).alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN pairs USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5"""
+
+
 QUERIES = {
     "op1_pii": (op1_pii, None),
     "op2_topk_search": (op2_topk_search, OP2_SQL),
@@ -121,5 +197,7 @@ QUERIES = {
     "op8_sharding": (op8_sharding, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "op12_resampling": (op12_resampling, OP12_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
