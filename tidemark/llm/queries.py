@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import hard_negatives, importance, jaccard_join, line_dedup, packing, pii, quality_rules, resampling, sentencepiece_bpe, sharding, suffix_dedup, topk_search
+from . import hard_negatives, importance, jaccard_join, line_dedup, lm_scoring, packing, pii, quality_rules, resampling, sentencepiece_bpe, sharding, suffix_dedup, topk_search
 from ..plans.session import materialize
 from .common import documents
 
@@ -110,6 +110,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of those whose id's CRC-32 leaves another rest than 2 by 7."""
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    return lm_scoring.score(documents(spark, sf_dir), train).select(*lm_scoring.RESULT)
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents, drawn by how much their words are like those of the benchmark."""
     return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -197,6 +203,7 @@ QUERIES = {
     "op8_sharding": (op8_sharding, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "op11_lm_scoring": (op11_lm_scoring, None),
     "op12_resampling": (op12_resampling, OP12_SQL),
     "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
