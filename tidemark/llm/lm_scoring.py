@@ -204,17 +204,48 @@ def _mapped(uri: str) -> np.ndarray:
         return np.load(io.BytesIO(data.read()))
 
 
-def _narrow(columns: dict[str, np.ndarray]) -> np.ndarray:
-    kinds = [(name, np.min_scalar_type(int(c.max(initial=0)))) for name, c in columns.items()]
-    rows = np.empty(len(next(iter(columns.values()))), kinds)
-    for name, column in columns.items():
-        rows[name] = column
-    return rows
+FULL = 255  # in a column of bytes: the value stands in the list of large ones
+
+
+def _keep(uri: str, columns: dict[str, np.ndarray]) -> None:
+    """Two arrays: rows of a hash, if there is one, and a byte for each other column, and a list of the values from ``FULL`` on."""
+    rows = np.empty(len(next(iter(columns.values()))), [(name, "<u8" if name == "key" else "u1") for name in columns])
+    large = []
+    for number, (name, column) in enumerate(columns.items()):
+        rows[name] = column if name == "key" else np.minimum(column, FULL)
+        if name != "key":
+            at = np.flatnonzero(column >= FULL)
+            large.append(np.rec.fromarrays([np.full(len(at), number), at, column[at]], "u1,<u4,<u8"))
+    _write(f"{uri}.npy", rows)
+    _write(f"{uri}-large.npy", np.concatenate(large).view(np.ndarray))
+
+
+class Stored:
+    """The arrays of one block and order."""
+
+    def __init__(self, uri: str):
+        self.rows, self.large = _mapped(f"{uri}.npy"), _mapped(f"{uri}-large.npy")
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name == "key":
+            return self.rows["key"]
+        out = self.rows[name].astype(np.int64)
+        mine = self.large[self.large["f0"] == self.rows.dtype.names.index(name)]
+        out[mine["f1"]] = mine["f2"]
+        return out
+
+    @property
+    def count(self) -> np.ndarray:
+        return self["count"] >> 1
+
+    @property
+    def owned(self) -> np.ndarray:
+        return np.flatnonzero(self["count"] & 1)
 
 
 # -- counting --
 
-# What blocks tell of an n-gram: its own count; how often training has it, for single words; and, as a context, the sum of its
+# What blocks tell of an n-gram: its own count (in answers doubled, and one more for the owner); how often training has it, for single words; and, as a context, the sum of its
 # continuations' counts and how many of them count 1, 2, and more.
 HIGHEST = ("count",)
 # Sums over an order: n-grams that count, those that count 1 to 4, all counts, training tokens, and words that training has.
@@ -222,7 +253,7 @@ SUMS = ("types", "n1", "n2", "n3", "n4", "mass", "tokens", "known")
 LOWER = ("count", "raw", "mass", "ones", "twos", "more")
 
 
-def _told(block: Block, order: int, top: int, above: np.ndarray | None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def _told(block: Block, order: int, top: int, above: Stored | None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     keys, _, place = block.grams(order)
     n = len(keys)
     if order == top:
@@ -232,9 +263,8 @@ def _told(block: Block, order: int, top: int, above: np.ndarray | None) -> tuple
         none = np.zeros(n, np.int64)
         return keys, {"count": count, "raw": count, "mass": none, "ones": none, "twos": none, "more": none}
     _, example, _ = block.grams(order + 1)
-    mine = np.flatnonzero(above["owned"])
-    ends = example[mine]
-    counts = above["count"][mine].astype(np.int64)
+    mine = above.owned
+    ends, counts = example[mine], above.count[mine]
     context = place[ends - 1]
     told = {"count": np.bincount(place[ends], minlength=n), "raw": np.zeros(n, np.int64)}
     if order == 1:
@@ -254,7 +284,7 @@ def _exchange(blocks: DataFrame, order: int, top: int, cells: int, folder: str)
         for batch in batches:
             for row in range(batch.num_rows):
                 number = batch["block"][row].as_py()
-                above = _mapped(f"{folder}/{order + 1}/{number}.npy") if order < top else None
+                above = Stored(f"{folder}/{order + 1}/{number}") if order < top else None
                 keys, told = _told(_block_of(batch, row), order, top, above)
                 edges = np.searchsorted(cell_of(keys, cells), np.arange(cells + 1))
                 used = np.flatnonzero(np.diff(edges))
@@ -287,7 +317,7 @@ def _exchange(blocks: DataFrame, order: int, top: int, cells: int, folder: str)
             replies, at = [], 0
             for size in sizes:
                 part = slice(at, at + size)
-                own = [owned[part], *[s[place[part]] for s in sums]]
+                own = [2 * total[place[part]] + owned[part], *[s[place[part]] for s in sums[1:]]]
                 replies.append(pack(np.diff(keys[part], prepend=np.uint64(0)), *own) if order < top else pack(*own))
                 at += size
             block = pa.array([*numbers, -1], pa.int64())
@@ -313,7 +343,7 @@ def _exchange(blocks: DataFrame, order: int, top: int, cells: int, folder: str)
             if order < top:
                 parts = [[np.cumsum(p[0], dtype=np.uint64), *p[1:]] for p in parts]
             whole = [np.concatenate(c) for c in zip(*parts)]
-            _write(f"{folder}/{order}/{current}.npy", _narrow(dict(zip((*["key"] * (order < top), "owned", *names), whole))))
+            _keep(f"{folder}/{order}/{current}", dict(zip((*["key"] * (order < top), *names), whole)))
 
         for batch in batches:
             for number, reply in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -355,7 +385,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def _probabilities(block: Block, arrays: list[np.ndarray], sums: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _probabilities(block: Block, arrays: list[Stored], sums: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Probability of every token but start marks, and how often training has it."""
     ends = np.flatnonzero(~block.start)
     chance = np.full(len(ends), 1.0 / (sums[0]["known"] + 1))
@@ -363,9 +393,9 @@ def _probabilities(block: Block, arrays: list[np.ndarray], sums: list[dict[str,
     for order, (rows, total) in enumerate(zip(arrays, sums), start=1):
         place = np.searchsorted(rows["key"], block.hashes(order)) if order < len(arrays) else block.grams(order)[2]
         lost = np.array([0.0, *discounts(total["n1"], total["n2"], total["n3"], total["n4"])])
-        count = rows["count"][place[ends]].astype(np.int64)
+        count = rows.count[place[ends]]
         if order == 1:
-            raw = rows["raw"][place[ends]].astype(np.int64)
+            raw = rows["raw"][place[ends]]
             more = total["types"] - total["n1"] - total["n2"]
             mass = np.full(len(ends), float(total["mass"]))
             handed = np.full(len(ends), lost[1] * total["n1"] + lost[2] * total["n2"] + lost[3] * more)
@@ -403,7 +433,7 @@ def score(df: DataFrame, train: Column, order: int = ORDER, block_tokens: int =
             for row in range(batch.num_rows):
                 block = _block_of(batch, row)
                 number = batch["block"][row].as_py()
-                chance, raw = _probabilities(block, [_mapped(f"{folder}/{k}/{number}.npy") for k in range(1, order + 1)], sums)
+                chance, raw = _probabilities(block, [Stored(f"{folder}/{k}/{number}") for k in range(1, order + 1)], sums)
                 starts = block.first - np.arange(len(block.first))
                 n = np.diff(np.r_[starts, len(chance)])
                 base = np.log10((raw + 1.0) / (total + known + 1.0))
