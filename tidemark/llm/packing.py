@@ -16,7 +16,7 @@ import os
 import re
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from struct import pack as pack_ids
 
@@ -26,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import materialize
-from .common import buckets_for, free_name, map_slices, ranked_in
+from .common import SLICE_ROWS, buckets_for, free_name, map_slices, ranked_in
 
 CAPACITY = 2048
-MEMO = 100_000
+# Parts that a task's memo holds, twice over; the memo goes when the task ends, so later stages have the worker's memory.
+MEMO = 400_000
 
 
 # -- planning on the histogram --
@@ -233,6 +234,10 @@ class WordTokenizer:
         ids = self.tokenizer.encode(part, add_special_tokens=False).ids if part else ()
         return pack_ids(f"<{len(ids)}I", *ids)
 
+    def forget(self) -> None:
+        for memo in (self.memo, self.older, self.units, self.older_units):
+            memo.clear()
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
         parts = text.replace("\n", " ").split(" ")
@@ -259,7 +264,7 @@ def token_pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     """Documents cut into pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids (little-endian unsigned 32-bit)."""
     last = end_id.to_bytes(4, "little")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = load(tokenizer).ids(text or "") + last
@@ -269,9 +274,17 @@ def token_pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE_ROWS):
+                    yield cut(batch.slice(start, SLICE_ROWS))
+        finally:
+            load(tokenizer).forget()
+
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_slices(rows, run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, digest: Column | None = None) -> DataFrame:
