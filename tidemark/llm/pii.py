@@ -8,7 +8,8 @@ instances that follow them form a bipartite graph. In each round a pattern is sc
 its instances are known to be of that kind, and by which share of all its instances they are; instances that
 trusted patterns introduce are scored by those patterns together, and those that score high enough become known.
 After the last round, each unseen instance that is known and stands behind a trusted pattern of its kind is a span,
-unless it touches a base span. Patterns and instances are counted with map-side partial aggregates, so a context
+unless it touches a base span. Rounds go on until one finds no new instance. The two words may lie beyond another match: a
+word that holds an @ or three digits in a row is the same placeholder in every pattern. Patterns and instances are counted with map-side partial aggregates, so a context
 in a third of the rows is one row per task.
 
 Offsets count code points, ends are exclusive. Null and empty texts hold nothing. Null ids are kept; rows that
@@ -17,11 +18,13 @@ share id and text have the same spans.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import materialize
-from .common import text_or_empty
+from .common import free_name, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -40,7 +43,7 @@ CONTEXT = r"""(\S+\s+\S+)[\s"'(<]*$"""
 # How far back the two words before an instance may reach.
 REACH = 80
 
-ROUNDS = 3
+PLACEHOLDER = "<id>"
 MIN_KNOWN = 3
 MIN_SHARE = 0.6
 MIN_SCORE = 0.75
@@ -54,13 +57,16 @@ def _matches(text: Column, pattern: str, hint: str | None) -> Column:
     def place(done: Column, pair: Column) -> Column:
         start = done["at"] + F.length(pair["gap"])
         end = start + F.length(pair["own"])
-        context = F.lower(F.regexp_replace(F.regexp_extract(F.right(pair["gap"], F.lit(REACH)), CONTEXT, 1), r"\s+", " "))
-        span = F.struct(start.alias("start"), end.alias("end"), pair["own"].alias("instance"), context.alias("pattern"))
-        return F.struct(end.alias("at"), F.array_append(done["out"], span).alias("out"))
+        before = F.right(F.concat(done["tail"], F.right(pair["gap"], F.lit(REACH))), F.lit(REACH))
+        context = F.regexp_replace(F.regexp_extract(before, CONTEXT, 1), r"\S*(?:@|[0-9]{3})\S*", PLACEHOLDER)
+        words = F.lower(F.regexp_replace(context, r"\s+", " "))
+        span = F.struct(start.alias("start"), end.alias("end"), pair["own"].alias("instance"), words.alias("pattern"))
+        tail = F.concat(before, F.lit(PLACEHOLDER))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.array_append(done["out"], span).alias("out"))
 
     pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("own"))
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,instance:string,pattern:string>>)")
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), place, lambda done: done["out"])
+    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out")), place, lambda done: done["out"])
     some = F.contains(text, F.lit(hint)) if hint else F.lit(True)
     return F.when(some & F.regexp_like(text, F.lit(pattern)), spans).otherwise(empty)
 
@@ -125,11 +131,11 @@ def trusted(edges: DataFrame, known: DataFrame, min_known: int = MIN_KNOWN, min_
     return both.select("pattern", "kind", "n", (F.col("n") / F.col("all")).alias("share")).where(F.col("share") >= min_share)
 
 
-def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, min_known: int = MIN_KNOWN, min_share: float = MIN_SHARE, min_score: float = MIN_SCORE) -> tuple[DataFrame, DataFrame]:
-    """Trusted patterns, and all known instances (kind, instance), after the last round."""
+def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, min_known: int = MIN_KNOWN, min_share: float = MIN_SHARE, min_score: float = MIN_SCORE) -> tuple[DataFrame, DataFrame]:
+    """Trusted patterns, and all known instances (kind, instance), after ``rounds`` or once a round finds no new instance."""
     known = seeds
     patterns = trusted(edges, known, min_known, min_share)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         patterns = materialize(trusted(edges, known, min_known, min_share), "patterns")
         unseen = edges.join(known.select("instance").distinct(), "instance", "left_anti")
         # a pattern is right as often as its share says, less so if it rests on few instances; doubts multiply
@@ -143,7 +149,7 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, min_know
     return patterns, known
 
 
-def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """doc_id, key (of id and text), base and found (spans of start, kind, end; by start and kind) for every row of ``df``."""
     scanned = scan(df, doc_id, text)
     edges, seeds = graph(scanned)
@@ -162,12 +168,13 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def mask(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def mask(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """``df`` with every span of ``text`` replaced by its kind in angle brackets; spans that overlap are one, of the first's kind."""
-    spans = find(df, doc_id, text, rounds).select("key", F.array_sort(F.concat("base", "found")).alias("__spans")).where(F.size("__spans") > 0)
-    spans = spans.withColumnRenamed("key", "__key").dropDuplicates(["__key"])
-    rows = df.withColumn("__key", F.xxhash64(F.col(f"`{doc_id}`"), text_or_empty(text)))
-    both = rows.join(spans, "__key", "left")
+    key, spans_of = free_name(df.columns, "key"), free_name(df.columns, "spans")
+    spans = find(df, doc_id, text, rounds).select(F.col("key").alias(key), F.array_sort(F.concat("base", "found")).alias(spans_of))
+    spans = spans.where(F.size(spans_of) > 0).dropDuplicates([key])
+    rows = df.withColumn(key, F.xxhash64(F.col(f"`{doc_id}`"), text_or_empty(text)))
+    both = rows.join(spans, key, "left")
     own = F.col(f"`{text}`")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
@@ -179,5 +186,5 @@ def mask(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int
         return F.when(s["start"] >= done["at"], taken).otherwise(longer)
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("__spans", begin, step, lambda done: F.concat(done["out"], F.substr(own, done["at"] + 1, F.length(own))))
-    return both.select(*[(F.when(F.col("__spans").isNull(), own).otherwise(masked).alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns])
+    masked = F.aggregate(spans_of, begin, step, lambda done: F.concat(done["out"], F.substr(own, done["at"] + 1, F.length(own))))
+    return both.select(*[(F.when(F.col(spans_of).isNull(), own).otherwise(masked).alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns])
