@@ -19,7 +19,7 @@ HEADLINE = (
     "describe", "correlations", "histogram", "box_by_weekday", "grouped_quantiles", "daily_shipments", "model_comparison",
     "zscore_detector", "rolling_detector", "severity_minutely", "severity_panel", "top_alerts", "combined_anomalies",
     "last_rows_panel", "classical_decomposition", "stl_decomposition", "isolation_forest", "multi_step_direct", "walk_forward",
-    "random_forest", "look_back_linear", "sarima_forecast", "tree_shapley", "threshold_monitor", "panel_kpi_cards", "panel_severity_counts",
+    "random_forest", "look_back_linear", "sarima_forecast", "tree_shapley", "stream_monitor", "stream_adaptive", "panel_kpi_cards", "panel_severity_counts",
 )
 
 

@@ -30,3 +30,9 @@ def test_query_equals_sql(spark, name):
     got = driver.queries()[name](spark, SF).toPandas()
     want = connect(SF).execute(driver.oracle_sql()[name]).fetchdf()
     assert compare(got, want) == "ok"
+
+
+def test_every_headline_query_is_registered():
+    import bench
+
+    assert set(bench.HEADLINE) <= set(driver.queries())

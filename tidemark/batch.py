@@ -47,6 +47,7 @@ class Settings:
     explain_rows: int | None = None
     isolation_trees: int = 200
     layout: Layout | None = None
+    tie: Sequence[str] = ()  # columns that tell raw readings of one instant apart
 
 
 def run_batch(spark: SparkSession, source: str | DataFrame, out: str, settings: Settings | None = None) -> dict[str, str]:
@@ -59,7 +60,7 @@ def run_batch(spark: SparkSession, source: str | DataFrame, out: str, settings:
         return spark.read.parquet(paths[name])
 
     raw = save("readings", read_readings(spark, source)) if isinstance(source, str) else source  # text is parsed once
-    hourly = save("processed_hourly", preprocess(raw, s.freq, mean=s.mean, total=s.total, layout=s.layout))
+    hourly = save("processed_hourly", preprocess(raw, s.freq, mean=s.mean, total=s.total, tie=s.tie, layout=s.layout))
     measures = [*s.mean, *s.total]
 
     save("eda_describe", profile.describe(hourly, measures))

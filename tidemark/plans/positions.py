@@ -64,9 +64,9 @@ def _div(micros: Column, width: int) -> Column:
 
 
 def _with_order(df: DataFrame, ts: str, tie: Sequence[str], layout: Layout) -> tuple[DataFrame, list[str]]:
-    """Order columns. ``tie`` tells equal time stamps apart; an overfull instant orders by its hash first."""
+    """Order columns. ``tie`` tells equal time stamps apart; an overfull instant orders by its hash first, without ``tie`` by the row's."""
     if layout.tie_bits:
-        return df.withColumn("__tie", F.xxhash64(*tie)), [ts, "__tie", *tie]
+        return df.withColumn("__tie", F.xxhash64(*(tie or df.columns))), [ts, "__tie", *tie]
     return df, [ts, *tie]
 
 
@@ -113,8 +113,6 @@ def choose_layout(
         top = df.groupBy(*keys, _div(micros, width).alias("__g")).count().agg(F.max("count")).first()[0] or 0
         if top <= max_rows:
             return Layout("sliced", width, chunk_rows)
-    if not tie:
-        raise ValueError(f"{top} rows of a series share one time stamp: name columns that tell them apart in `tie`")
     return Layout("sliced", 1, chunk_rows, tie_bits=min(20, (top // max_rows).bit_length() + 1))
 
 
