@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from math import factorial
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.session import scratch_path
 from .filters import seeded_sample
+from .models import BoostedRegressor
 
 @dataclass
 class LeafPath:
@@ -95,60 +97,111 @@ def flat_trees(nodes: pd.DataFrame) -> list[FlatTree]:
     return out
 
 
-def leaf_paths(nodes: pd.DataFrame) -> list[LeafPath]:
-    return [leaf for tree in flat_trees(nodes) for leaf in tree.leaves()]
+@dataclass
+class LeafGroup:
+    """All leaves of a tree with equally many features on their paths: one row a leaf, one column a feature."""
+
+    value: np.ndarray
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    cover: np.ndarray
+
+
+def leaf_groups(tree: FlatTree) -> list[LeafGroup]:
+    by_length: dict[int, list[LeafPath]] = {}
+    for leaf in tree.leaves():
+        if len(leaf.features):
+            by_length.setdefault(len(leaf.features), []).append(leaf)
+    return [
+        LeafGroup(np.array([leaf.value for leaf in leaves]), *(np.stack([getattr(leaf, c) for leaf in leaves]) for c in ("features", "low", "high", "cover")))
+        for leaves in by_length.values()
+    ]
 
 
-def _leaf_attribution(leaf: LeafPath, x: np.ndarray) -> np.ndarray:
-    """Shapley values of one leaf for a batch of rows, one column per feature on its path.
+def group_attribution(group: LeafGroup, x: np.ndarray) -> np.ndarray:
+    """Shapley values of a group's leaves for a batch of rows.
 
-    A row contributes the leaf value times, per feature, either whether it goes there (feature
-    known) or the share of training rows that do (unknown); the sum over coalitions is a product of
-    linear factors, expanded as a polynomial in the coalition size.
+    A row's path weights say, for each coalition size, which share of the orderings reaches the leaf. Features extend the path
+    one by one; unwinding one of them gives what the path would weigh without it. That is d * d steps for d features,
+    each over all rows and leaves of the group.
     """
-    d = len(leaf.features)
-    v = x[:, leaf.features]
-    one = ((v > leaf.low) & (v <= leaf.high)).astype(float)
-    phi = np.empty((len(x), d))
-    weight = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
-    for j in range(d):
-        poly = np.zeros((len(x), d))
-        poly[:, 0] = 1.0
-        for i in range(d):
-            if i != j:
-                poly[:, 1:] = poly[:, 1:] * leaf.cover[i] + poly[:, :-1] * one[:, i : i + 1]
-                poly[:, 0] *= leaf.cover[i]
-        phi[:, j] = leaf.value * (one[:, j] - leaf.cover[j]) * (poly @ weight)
+    d = group.features.shape[1]
+    goes = [((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, low, high in zip(group.features.T, group.low.T, group.high.T)]
+    weight = np.zeros((d + 1, len(x), len(group.value)))
+    weight[0] = 1.0
+    for m in range(1, d + 1):
+        one, share = goes[m - 1], group.cover[:, m - 1]
+        for i in range(m - 1, -1, -1):
+            weight[i + 1] += one * weight[i] * ((i + 1) / (m + 1))
+            weight[i] *= share * ((m - i) / (m + 1))
+    phi = np.zeros_like(x)
+    for i in range(d):
+        one, share = goes[i], group.cover[:, i]
+        total = np.zeros_like(one)
+        rest = weight[d].copy()
+        for j in range(d - 1, -1, -1):
+            taken = rest * ((d + 1) / (j + 1))
+            total += np.where(one > 0, taken, weight[j] / (share * ((d - j) / (d + 1))))
+            rest = weight[j] - taken * share * ((d - j) / (d + 1))
+        earned = total * (one - share) * group.value
+        features, of = np.unique(group.features[:, i], return_inverse=True)
+        phi[:, features] += earned @ np.eye(len(features))[of]
+    return phi
+
+
+# Numbers that one step of an attribution holds.
+CELLS = 2_000_000
+
+
+def tree_attributions(trees: Sequence[list[LeafGroup]], x: np.ndarray) -> np.ndarray:
+    phi = np.zeros_like(x)
+    for groups in trees:
+        for group in groups:
+            step = max(1, CELLS // (group.features.shape[0] * (group.features.shape[1] + 1)))
+            for a in range(0, len(x), step):
+                phi[a : a + step] += group_attribution(group, x[a : a + step])
     return phi
 
 
-def explain_trees(model: PipelineModel, rows: DataFrame, features: Sequence[str], *, ids: Sequence[str] = ("ts",)) -> DataFrame:
+def explain_trees(
+    model: PipelineModel | BoostedRegressor, rows: DataFrame, features: Sequence[str], *, ids: Sequence[str] = ("ts",), tree_parts: int = 4
+) -> DataFrame:
     """Path-dependent tree Shapley values (Lundberg et al. 2018): ``ids``, ``base``, ``phi`` array.
 
-    ``base`` plus the values of a row is the model's prediction for it.
+    ``base`` plus the values of a row is the model's prediction for it. Work is split by rows and by ``tree_parts`` parts of the
+    trees, whose sums are added by ``ids``, which name a row. Null features go left at every split.
     """
-    trees = flat_trees(tree_nodes(model.stages[-1]))
+    if isinstance(model, BoostedRegressor):
+        trees = [FlatTree(t.left, t.right, t.feature, t.cut, t.cover, t.value[:, 0]) for t in model.model.trees]
+        start = float(model.model.start[0])
+    else:
+        trees, start = flat_trees(tree_nodes(model.stages[-1])), 0.0
     # the mean prediction over the training rows: leaves weighted by cover
-    base = float(sum((t.value * t.cover)[t.left < 0].sum() / t.cover[0] for t in trees))
-    context = rows.sparkSession.sparkContext
-    shared = context.broadcast(trees)
+    base = start + float(sum((t.value * t.cover)[t.left < 0].sum() / t.cover[0] for t in trees))
+    spark = rows.sparkSession
+    context = spark.sparkContext
+    shared = context.broadcast([leaf_groups(t) for t in trees])  # paths are built once; parameters bound their number
+    parts = max(1, min(tree_parts, len(trees)))
     width = len(features)
 
     @F.pandas_udf("array<double>")
-    def attribute(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for pdf in parts:
+    def attribute(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        for part, pdf in batches:
             x = pdf.to_numpy(float)
+            x = np.where(np.isnan(x), -1.7e308, x)
             phi = np.zeros((len(x), width))
-            for tree in shared.value:
-                for leaf in tree.leaves():
-                    if len(leaf.features):
-                        phi[:, leaf.features] += _leaf_attribution(leaf, x)
+            for k in part.unique():
+                at = (part == k).to_numpy()
+                phi[at] = tree_attributions(shared.value[k::parts], x[at])
             yield pd.Series(list(phi))
 
-    tasks = max(context.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(tasks)  # a row costs a walk over all leaves: never in one task
+    tasks = max(context.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     vector = F.struct(*[F.col(c).cast("double").alias(c) for c in features])
-    return rows.select(*ids, F.lit(base).alias("base"), attribute(vector).alias("phi"))
+    dealt = rows.select(*ids, vector.alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part")).repartition(tasks)
+    told = dealt.select(*ids, attribute("__part", "__x").alias("__phi"))
+    sums = F.array(*[F.sum(F.col("__phi")[i]) for i in range(width)])
+    return told.groupBy(*ids).agg(sums.alias("phi")).select(*ids, F.lit(base).alias("base"), "phi")
 
 
 def long_attributions(attributions: DataFrame, features: Sequence[str], *, ids: Sequence[str] = ("ts",)) -> DataFrame:
@@ -165,44 +218,85 @@ def explain_any(
     features: Sequence[str],
     *,
     ids: Sequence[str] = ("ts",),
-    background_size: int = 200,
-    permutations: int = 10,
+    background_size: int = 50,
+    coalitions: int = 98,
     seed: int = 42,
 ) -> DataFrame:
-    """Permutation Shapley values of any model: ``ids``, ``feature``, ``phi``.
-
-    ``predict`` adds ``predicted`` to a table with the feature columns. Each row walks from a
-    background row to itself, one feature at a time, in seeded orders taken forward and backward;
-    a feature earns the change it causes. All walks are scored in one batch. The background is a
-    sample of fixed size and travels as an array constant.
+    """Kernel Shapley values of any model (Lundberg and Lee 2017): ``ids``, ``feature``, ``phi``.
+
+    ``predict`` adds ``predicted`` to a table with the feature columns. A table of at most ``coalitions`` distinct feature subsets is drawn
+    once: sizes 1 and p - 1 whole, then 2 and p - 2, and so on while they fit, the next sizes by a seeded sample, each subset
+    with its complement. Each row is scored once for a subset and a background row (features outside the subset come from the
+    background), which makes ``coalitions`` * ``background_size`` predictions a row at most. A row's values solve the weighted least-squares problem whose
+    matrix is the same for all rows: it is solved once, and a row's values are a product with its subset means. Values add up
+    to the prediction less the mean over the background. They are exact if all subsets fit, and for linear models. The
+    background is a sample of fixed size and travels as an array constant. ``ids`` name a row.
     """
     p = len(features)
     sample = seeded_sample(background.select(*features).distinct(), background_size, ids=features, seed=seed).toPandas()
-    rng = np.random.default_rng(seed)
-    orders = [rng.permutation(p) for _ in range(permutations)]
-    orders = [o for pair in orders for o in (pair, pair[::-1])]
-    # rank[order][feature]: the step at which the feature joins
-    ranks = F.array(*[F.array(*[F.lit(int(np.flatnonzero(o == f)[0])) for f in range(p)]) for o in orders])
+    subsets, weights = coalition_table(p, coalitions, seed)
+    solve = coalition_solver(subsets, weights)  # (p, subsets): values from the subsets' means, less what adds up is forced to
+    masks = F.array(*[F.array(*[F.lit(bool(k)) for k in s]) for s in [np.zeros(p, bool), np.ones(p, bool), *subsets]])
     back = F.array(*[F.struct(*[F.lit(float(v)).alias(f"b{i}") for i, v in enumerate(r)]) for r in sample.to_numpy(float)])
-    walks = rows.select(*ids, *features).withColumn("__b", F.explode(back)).select("*", F.posexplode(ranks).alias("__i", "__o"))
-    steps = walks.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(p))))
+    steps = rows.select(*ids, *features).select("*", F.posexplode(masks).alias("__s", "__mask")).withColumn("__b", F.explode(back))
     mixed = [
-        F.when(F.col("__o")[i] < F.col("__k"), F.col(f).cast("double")).otherwise(F.col("__b")[f"b{i}"]).alias(f)
-        for i, f in enumerate(features)
+        F.when(F.col("__mask")[i], F.col(f).cast("double")).otherwise(F.col("__b")[f"b{i}"]).alias(f) for i, f in enumerate(features)
     ]
-    scored = predict(steps.select(*ids, "__i", "__o", "__k", *mixed))
-    # Mean prediction per row, order and step; steps differ by exactly one feature.
-    means = scored.groupBy(*ids, "__i", "__o", "__k").agg(F.avg("predicted").alias("m"))
-    joins = F.array_position("__o", F.col("__k")) - 1
-    leaves = F.array_position("__o", F.col("__k") - 1) - 1
-    credit = F.array(
-        F.struct(leaves.alias("f"), F.col("m").alias("d")), F.struct(joins.alias("f"), (-F.col("m")).alias("d"))
-    )
-    parts = means.select(*ids, F.explode(credit).alias("c")).where(F.col("c.f") >= 0)
-    names = F.array(*[F.lit(f) for f in features])
-    return parts.groupBy(*ids, F.element_at(names, (F.col("c.f") + 1).cast("int")).alias("feature")).agg(
-        (F.sum("c.d") / len(orders)).alias("phi")
-    )
+    scored = predict(steps.select(*ids, "__s", *mixed))
+    means = scored.groupBy(*ids, "__s").agg(F.avg("predicted").alias("m"))
+    packed = means.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("__s", "m"))).alias("m"))  # one entry a subset
+    shared = rows.sparkSession.sparkContext.broadcast((solve, subsets))
+
+    @F.pandas_udf("array<double>")
+    def values(m: pd.Series) -> pd.Series:
+        if not len(m):
+            return pd.Series([], dtype=object)
+        matrix, sets = shared.value
+        told = np.stack(m.to_numpy()).astype(float)
+        empty, whole, rest = told[:, :1], told[:, 1:2], told[:, 2:]
+        gap = whole - empty
+        share = sets.mean(axis=1) if len(sets) else np.zeros(0)
+        return pd.Series(list(gap / p + (rest - empty - gap * share) @ matrix.T))
+
+    phi = packed.select(*ids, values(F.transform("m", lambda s: s["m"])).alias("phi"))
+    return long_attributions(phi, features, ids=ids)
+
+
+def coalition_table(p: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct subsets of p features, neither empty nor whole, as rows of booleans, and their Shapley kernel weights."""
+    chosen: list[tuple[int, ...]] = []
+    weights: list[float] = []
+    rng = np.random.default_rng(seed)
+    for size in range(1, p // 2 + 1):
+        sizes = {size, p - size}
+        mass = sum((p - 1) / (s * (p - s)) for s in sizes)  # of all subsets of these sizes
+        count = len(sizes) * comb(p, size)
+        if len(chosen) + count <= most:
+            found = [c for s in sizes for c in combinations(range(p), s)]
+        else:
+            halves: set[tuple[int, ...]] = set()
+            room = (most - len(chosen)) // 2
+            for _ in range(4 * room):
+                if len(halves) == room:
+                    break
+                halves.add(tuple(sorted(rng.choice(p, size, replace=False).tolist())))
+            found = sorted(halves | {tuple(sorted(set(range(p)) - set(h))) for h in halves})
+        chosen += found
+        weights += [mass / len(found)] * len(found)
+        if len(chosen) + 2 > most:
+            break
+    table = np.zeros((len(chosen), p), bool)
+    for row, subset in enumerate(chosen):
+        table[row, list(subset)] = True
+    return table, np.array(weights)
+
+
+def coalition_solver(subsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Matrix from subset means (less what equal shares explain) to values that add up to nothing."""
+    p = subsets.shape[1]
+    centred = subsets - subsets.mean(axis=1, keepdims=True)  # values that add up to 0 don't see the mean
+    root = np.sqrt(weights)[:, None]
+    return (np.linalg.pinv(root * centred) * root.T) if len(subsets) else np.zeros((p, 0))
 
 
 def importance(long: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from ..functions.numeric import non_negative
 from ..plans.joins import null_safe_join
 from ..plans.positions import Layout
 from ..plans.session import materialize
+from . import boosting
 from .filters import last_rows
 from .linear import cross_products, solve
 from .split import look_back_windows, mark_split, min_max_bounds, scale, scale_column, unscale
@@ -159,12 +160,17 @@ def train_multi_step(windows: DataFrame, *, look_back: int = 48, horizon: int =
     """Next ``horizon`` values from a look-back window, on the training rows.
 
     ``direct`` solves one linear equation per step from one pass over the data; ``pooled`` fits one
-    boosted model with the step as a feature; ``per_step`` fits a boosted model for every step.
+    boosted model with the step as a feature; ``per_step`` fits a boosted model for every step; ``trees``
+    fits one boosted model whose leaves hold a value for every step.
     """
     train = windows.where("is_train")
     if strategy == "direct":
         xx, xy, _ = cross_products(train, "x", "y", look_back, horizon)
         return DirectModel(solve(xx, xy))
+    if strategy == "trees":
+        ids = [c for c in train.columns if c not in ("x", "y", "is_train", "lo", "hi")]
+        return boosting.train(train.select(*ids, "x", "y"), ids=ids, **{**boosting.MULTI_STEP, **params})
+    # Training parameters of the pooled and the per-step model.
     settings = {"labelCol": "label", "predictionCol": "y_hat", "maxIter": 300, "maxDepth": 6, "stepSize": 0.05,
                 "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42, **params}
     if strategy == "pooled":

@@ -89,6 +89,13 @@ def boosted_trees(spark, d):
     return rounded(models.score(model, test, "power"), "actual", "predicted")
 
 
+def histogram_boosting(spark, d):
+    """500 trees of depth 7 on the feature table."""
+    train, test, names = _split(spark, d)
+    model = models.train_histogram_boosting(train, names, "power")
+    return rounded(models.score(model, test, "power"), "actual", "predicted")
+
+
 def saved_model(spark, d):
     train, test, names = _split(spark, d)
     path = save_model(models.train_linear(train, names, "power", regParam=0.1), scratch_path(spark, "model"))
@@ -129,6 +136,12 @@ def multi_step_pooled(spark, d):
     return rounded(metrics.horizon_means(scored, ids=["ts"]), "actual_mean", "predicted_mean")
 
 
+def multi_step_trees(spark, d):
+    """The next day from the last two by 300 trees of depth 6 with a value for every step in each leaf."""
+    _, scored = forecast.multi_step_forecast(hourly(spark, d), "power", horizon=24, strategy="trees", layout=WEEKLY)
+    return rounded(metrics.horizon_means(scored, ids=["ts"]), "actual_mean", "predicted_mean")
+
+
 def future(spark, d):
     """Future forecasts at the three horizons, stacked."""
     h = hourly(spark, d)
@@ -193,8 +206,9 @@ FROM k WHERE rn >= floor(n * 0.8) AND c IS NOT NULL"""
 
 
 def tree_shapley(spark, d):
+    """Importance by tree attributions of a forest of 200 trees of depth 15, over the whole test table."""
     train, test, names = _split(spark, d)
-    model = models.train_random_forest(train, names, "power", **SMALL_FOREST)
+    model = models.train_random_forest(train, names, "power")
     table, _ = explain.explain_model(model, test, names)
     return rounded(table, "mean_shap")
 
@@ -202,7 +216,7 @@ def tree_shapley(spark, d):
 def tree_shapley_check(spark, d):
     """Base plus attributions next to the prediction they explain."""
     train, test, names = _split(spark, d)
-    model = models.train_boosted_trees(train, names, "power", **SMALL_BOOST)
+    model = models.train_histogram_boosting(train, names, "power", rounds=100)
     told = explain.explain_trees(model, test, names)
     total = told.select("ts", (F.col("base") + F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)).alias("explained"))
     return rounded(total.join(models.score(model, test, "power"), "ts").select("ts", "explained", "predicted"), "explained", "predicted")
@@ -224,12 +238,14 @@ QUERIES = {
     "all_detectors": (all_detectors, None),
     "random_forest": (random_forest, None),
     "boosted_trees": (boosted_trees, None),
+    "histogram_boosting": (histogram_boosting, None),
     "saved_model": (saved_model, None),
     "model_table": (model_table, None),
     "look_back_linear": (look_back_linear, None),
     "look_back_boosted": (look_back_boosted, None),
     "multi_step_direct": (multi_step_direct, None),
     "multi_step_pooled": (multi_step_pooled, None),
+    "multi_step_trees": (multi_step_trees, None),
     "future_forecast": (future, None),
     "future_panel": (future_panel, None),
     "future_summary": (future_summary, None),
