@@ -132,7 +132,7 @@ def test_cut_off_elements_never_lose_a_link(monkeypatch):
 def test_keep_one_judges_rows(spark):
     a, b, c = "a b c d e f g h", "q r s t u v w x", "k l m n o p q r"
     rows = [(1, a), (5, a), (5, b), (6, b), (7, c), (7, c), (7, c), (None, c), (None, a), (None, "z y x w v u"), (None, "z y x w v u"), (None, "Z y x w v u"), (9, None), (9, None), (9, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"n": F.lit("x"), "root": F.lit(1), "gone": F.lit(True)})
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"n": F.lit("x"), "root": F.lit(1), "gone": F.lit(True), "__tag": F.lit(1), "tag": F.lit(2), "doc": F.lit(3)})
     kept = jj.keep_one(df)
     assert kept.columns == df.columns
     got = collections.Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())

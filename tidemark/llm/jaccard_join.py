@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..plans.session import materialize
 from .bitmap import bitmap, with_flag
-from .common import map_slices
+from .common import free_name, map_slices
 from .components import components
 from .exchange import cells_for, gather, hashed, ship
 from .shingles import shingle_sets
@@ -418,15 +418,16 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     placed = _placed(df, doc_id, text).where("n > 0").groupBy("root", "doc", "cls", "tag").agg(F.count(F.lit(1)).alias("n"))
     row = F.struct(F.col("doc").isNull().alias("last"), "doc", "cls", "tag")
     first = placed.groupBy(F.col("root").alias("of")).agg(F.min(row).alias("first"))
-    judged = placed.join(first, F.col("root") == F.col("of")).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), "n", (row != F.col("first")).alias("gone"))
+    doc, tag = free_name(df.columns, "doc"), free_name(df.columns, "tag")
+    judged = placed.join(first, F.col("root") == F.col("of")).select(F.col("doc").alias(doc), F.col("tag").alias(tag), "n", (row != F.col("first")).alias("gone"))
     judged = materialize(judged.where("gone OR n > 1"), "judged")
 
     def match(other: DataFrame):
-        return df[doc_id].cast("long").eqNullSafe(other["__doc"]) & (F.xxhash64(df[text].cast("string")) == other["__tag"])
+        return df[doc_id].cast("long").eqNullSafe(other[doc]) & (F.xxhash64(df[text].cast("string")) == other[tag])
 
     kept = df.join(judged, match(judged), "left_anti")
     repeated = judged.where("NOT gone")
     if repeated.isEmpty():
         return kept
-    several = df.join(repeated, match(repeated), "left_semi").withColumn("__tag", F.xxhash64(F.col(f"`{text}`").cast("string")))
-    return kept.unionAll(several.dropDuplicates([doc_id, "__tag"]).drop("__tag"))
+    several = df.join(repeated, match(repeated), "left_semi").withColumn(tag, F.xxhash64(F.col(f"`{text}`").cast("string")))
+    return kept.unionAll(several.dropDuplicates([doc_id, tag]).drop(tag))
