@@ -102,6 +102,23 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE [array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)] END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n m ON m.doc_id = x JOIN n o ON o.doc_id = y WHERE 100 * common >= 75 * (m.n + o.n - common)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, y FROM reach JOIN e ON b = x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that every document keeps when repeated 100-byte strings go."""
     cut = suffix_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
@@ -202,7 +219,7 @@ QUERIES = {
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_importance": (op7_importance, None),
     "op8_sharding": (op8_sharding, None),
-    "op9_jaccard_join": (op9_jaccard_join, None),
+    "op9_jaccard_join": (op9_jaccard_join, OP9_SQL),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
     "op11_lm_scoring": (op11_lm_scoring, None),
     "op12_resampling": (op12_resampling, OP12_SQL),
