@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import numpy as np
 import pandas as pd
@@ -81,3 +82,27 @@ def test_empty_stream(spark):
     write(spark, path, [])
     run_available(live_series(stream_files(spark, path, SCHEMA), keys=["meter"]), out, state)
     assert spark.read.schema("meter string, salt int, seen long, tail array<struct<id:long,ts:timestamp>>").parquet(out).count() == 0
+
+
+def until(condition, seconds=60):
+    end = time.time() + seconds
+    while not condition():
+        assert time.time() < end, "the stream did not get there"
+        time.sleep(0.5)
+
+
+def test_rows_are_forgotten(spark):
+    path, out, state = (scratch_path(spark, n) for n in ("in", "views", "state"))
+    start = dt.datetime(2024, 1, 1)
+    write(spark, path, [(i, "a", start + dt.timedelta(minutes=i), 1.0, None) for i in range(10)])
+    views = live_series(stream_files(spark, path, SCHEMA), keys=["meter"], n=20, tie=["id"], ttl_ms=2000)
+    query = views.writeStream.format("parquet").option("checkpointLocation", state).trigger(processingTime="1 second").start(out)
+    told = spark.read.schema("meter string, salt int, seen long, tail array<struct<id:long,ts:timestamp>>")
+    try:
+        until(lambda: told.parquet(out).where("seen = 10").count() == 1)
+        time.sleep(4)
+        write(spark, path, [(i, "a", start + dt.timedelta(minutes=i), 1.0, None) for i in range(3, 6)])
+        until(lambda: told.parquet(out).where("seen = 13").count() == 1)
+    finally:
+        query.stop()
+    assert sorted(r["id"] for r in latest_tail(told.parquet(out), keys=["meter"], n=20, tie=["id"]).collect()) == [3, 4, 5]

@@ -54,7 +54,7 @@ class LastRows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.slots = handle.getMapState("slots", "slot int", self.schema, self.ttl_ms)
-        self.seen = handle.getValueState("seen", "n long", self.ttl_ms)
+        self.seen = handle.getValueState("seen", "n long")  # stays, so that views of a series always count up
 
     def _rank(self, row: tuple) -> tuple:
         """Later rows rank higher; a null ranks lowest, as it does in a batch."""
@@ -72,7 +72,7 @@ class LastRows(StatefulProcessor):
             for cells in part[names].itertuples(index=False, name=None):
                 row = tuple(_plain(c, k) for c, k in zip(cells, kinds))
                 if len(held) < self.n:
-                    slot = len(held)
+                    slot = next(s for s in range(self.n) if s not in held)  # rows that expired left gaps
                 else:
                     slot = min(held, key=lambda s: self._rank(held[s]))
                     if self._rank(row) <= self._rank(held[slot]):
@@ -96,7 +96,7 @@ def live_series(
     """Stream of views: the series, how many rows it had so far (``seen``), and its last ``n`` rows (``tail``).
 
     ``salts`` splits each series over that many states by a hash of the row, for series that hold a large share of all rows;
-    ``latest_tail`` puts them together. A series without a row for ``ttl_ms`` is forgotten; such a
+    ``latest_tail`` puts them together. A row is forgotten ``ttl_ms`` after it came in; such a
     stream has to run on a processing-time trigger, as one that stops when all is read would never stop. Feed it from a source with a
     bounded trigger (``stream_files(files_per_batch=...)``).
     """
