@@ -1,4 +1,6 @@
 import collections
+import functools
+import math
 import random
 import re
 
@@ -28,20 +30,77 @@ def test_counts_equal_brute_force():
     assert qr.count_text(text) == brute(text)
 
 
+def long_words(rng, least, most, n=60):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(least, most))) for _ in range(n))
+
+
 def good(rng):
     return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(60))
 
 
-def test_thresholds_follow_the_group(spark):
+def bucketed(v):
+    """What a sketch knows of a value."""
+    if v <= qr.SMALLEST:
+        return 0.0
+    return qr.SMALLEST * 2 * qr.GAMMA ** math.ceil(math.log(v / qr.SMALLEST) / math.log(qr.GAMMA)) / (qr.GAMMA + 1)
+
+
+def brute_kept(rows, m=qr.SHRINK, reach=qr.REACH):
+    """Verdicts of (text, lang, source) rows from sorted lists."""
+    counts = [brute(text or "") for text, _, _ in rows]
+    failed = [n < 20 or 100 * r > 30 * n for n, _, _, _, r, _ in counts]
+    values = [(s / max(c, 1), c / max(n, 1), d / max(k, 1), r / max(n, 1)) for n, c, s, d, r, k in counts]
+    groups = collections.defaultdict(list)
+    for (_, lang, source), bad, v in zip(rows, failed, values):
+        for key in () if bad else ((lang, source), (lang,), ()):
+            groups[key].append(v)
+
+    def quantile(key, k, level):
+        column = sorted(v[k] for v in groups[key])
+        return bucketed(next(x for i, x in enumerate(column, 1) if i >= len(column) * level))
+
+    def shrunk(lang, source, k, level):
+        target = quantile((), k, level)
+        for key in (lang,), (lang, source):
+            n = len(groups[key])
+            target = (n * quantile(key, k, level) + m * target) / (n + m)
+        return target
+
+    @functools.cache
+    def fences(lang, source, k, measure):
+        inner, outer = (shrunk(lang, source, k, level) for level in qr.LEVELS[measure])
+        low = shrunk(lang, source, k, 1 - qr.LEVELS[measure][1])
+        return low - reach * (inner - low) if measure == "mean_word" else 0, outer + reach * (outer - inner)
+
+    out = []
+    for (_, lang, source), bad, v in zip(rows, failed, values):
+        limits = [] if bad else [fences(lang, source, k, measure) for k, measure in enumerate(qr.LEVELS)]
+        out.append(not bad and all(low * (1 - qr.ACCURACY) <= x <= high * (1 + qr.ACCURACY) for x, (low, high) in zip(v, limits)))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):
+        words = long_words(rng, 2 + i % 3, rng.choice([6, 7, 14]), rng.randrange(10, 80)).split()
+        words += rng.choice([[], [], ["##"] * (i % 7), words[:9] * (i % 3)])
+        rows.append((rng.choice([" ", "\n", " "]).join(words), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", None])))
+    rows += [(None, "en", "a"), ("", None, None), ("x " * 90, "only", "failed")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in qr.judge(qr.text_counts(df), reach=0.5).collect()}
+    expected = brute_kept(rows, reach=0.5)
+    assert kept == dict(enumerate(expected)) and 0.2 < sum(expected) / len(rows) < 0.98
+
+
+def test_columns_nulls_and_repeats(spark):
     rng = random.Random(5)
     rows = [(i, good(rng), "en", "a") for i in range(300)]
-    rows += [(1000 + i, " ".join(w + "#" for w in good(rng).split()), "xx", "b") for i in range(300)]  # usual in its group
-    rows += [(2000 + i, " ".join(w + "#$" for w in good(rng).split()), "en", "a") for i in range(20)]  # unusual
     rows += [(3000, good(rng), None, None), (3001, None, "en", "a"), (3002, "", "en", None), (3003, "x " * 100, "en", "a"), (3003, "x " * 100, "en", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"n_words": F.lit("old"), "digest": F.lit(1)})
     kept = {r.doc_id: r.kept for r in qr.judge(qr.text_counts(df)).collect()}
-    assert all(kept[i] for i in range(300)) and all(kept[1000 + i] for i in range(300)) and kept[3000]
-    assert not any(kept[i] for i in [*range(2000, 2020), 3001, 3002, 3003])
+    assert sum(kept[i] for i in range(300)) >= 294 and kept[3000]
+    assert not any(kept[i] for i in (3001, 3002, 3003))
     left = qr.filter_documents(df)
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {i for i, k in kept.items() if k}
     assert qr.filter_documents(df.limit(0)).count() == 0
@@ -58,18 +117,34 @@ def test_sketches_merge_and_keep_their_accuracy(spark):
     assert sorted(halves.groupBy(*keys).agg(F.sum("n")).collect()) == sorted(qr.sketch(counts).select(*keys, "n").collect())
 
 
-def test_fences_decide_by_the_group_alone(spark):
+def test_what_is_usual_in_one_group_goes_in_another(spark):
+    """Symbols, repeated lines and repeated words at one level in texts of one length, and word lengths."""
     rng = random.Random(8)
 
-    def long_words(rng, least, most, n=60):
-        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(least, most))) for _ in range(n))
-
-    rows = [(i, good(rng), "en", "a") for i in range(300)] + [(1000 + i, long_words(rng, 9, 13), "de", "b") for i in range(300)]
-    rows += [(2000, good(rng) + " ### ", "en", "a"), (2001, good(rng) + " " + good(rng) + " #####" * 3, "en", "a")]  # a few; 0.025 of the characters
-    rows += [(2002, long_words(rng, 8, 9), "en", "a"), (2003, long_words(rng, 3, 4), "de", "b")]  # usual elsewhere
-    lines = [long_words(rng, 3, 7, 6) for _ in range(31)]
-    rows += [(2004, "\n".join([*lines, *lines[:1] * 8]), "en", "a"), (2005, "\n".join([*lines, *lines[:3]]), "en", "a")]  # 8 of 39 lines again; 3
+    def shaped(kind, amount):
+        words = long_words(rng, 3, 7, 96).split()
+        if kind == "symbols":
+            words[:amount] = [w + "#" for w in words[:amount]]
+        if kind == "words":  # runs of eight words twice
+            words[48 : 48 + amount] = words[:amount]
+        lines = [" ".join(words[i : i + 6]) for i in range(0, 96, 6)]
+        if kind == "lines":
+            lines[8 : 8 + amount] = lines[:1] * amount
+        return "\n".join(lines)
+
+    usual = {"symbols": 60, "words": 12, "lines": 3}
+    for kind, amount in usual.items():
+        rows = [(i, shaped("none", 0), "en", "plain") for i in range(2_000)]
+        rows += [(10_000 + i, shaped(kind, amount - i % 2), "xx", "marked") for i in range(600)]
+        rows += [(20_000 + i, shaped(kind, amount), "en", "plain") for i in range(5)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        kept = {r.doc_id: r.kept for r in qr.judge(qr.text_counts(df)).collect()}
+        assert sum(kept[10_000 + i] for i in range(600)) >= 590, kind
+        assert not any(kept[20_000 + i] for i in range(5)), kind
+        assert sum(kept[i] for i in range(2_000)) >= 1_960, kind
+
+    rows = [(i, good(rng), "en", "a") for i in range(1_500)] + [(10_000 + i, long_words(rng, 9, 13), "de", "b") for i in range(1_500)]
+    rows += [(20_000, long_words(rng, 9, 13), "en", "a"), (20_001, long_words(rng, 3, 7), "de", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    judged = {r.doc_id: r for r in qr.judge(qr.text_counts(df)).collect()}
-    assert all(judged[i].kept for i in [*range(300), *range(1000, 1300), 2000, 2005])
-    assert not any(judged[i].base_failed or judged[i].kept for i in (2001, 2002, 2003, 2004))
+    kept = {r.doc_id: r.kept for r in qr.judge(qr.text_counts(df)).collect()}
+    assert not kept[20_000] and not kept[20_001] and sum(kept.values()) >= 2_970

@@ -1,12 +1,13 @@
 """Quality rules: fixed base rules, and thresholds from quantile sketches of each language and source.
 
 One pass over the texts counts what the rules need (``text_counts``). Each rule's measure then goes into
-a mergeable quantile sketch per (lang, source): counts of logarithmic buckets with a relative error of
-``ACCURACY``, so sketches add up in map-side partial aggregates, a source that holds most rows is no
-burden, and a group with fewer than ``min_rows`` rows borrows the merged sketch of its language, or of
-all rows. Fences come from the sketch quartiles alone, and a join on (lang, source) applies them. In groups
-in which a share hardly varies the spread is that of the text's own count: a share of a short text doesn't
-resolve less than one event (``EVENT``), so a few of them reject no clean text.
+a mergeable quantile sketch per (lang, source), filled by the texts that pass the base rules: counts of
+logarithmic buckets with a relative error of ``ACCURACY``, so sketches add up in map-side partial aggregates
+and a source that holds most rows is no burden. A fence lies beyond an outer quantile of the group by
+``reach`` times the distance from an inner one (``LEVELS``), so it is set by the group's own tail alone: a
+share's tail from its 0.9 to its 0.99 quantile, and for the mean word length the outer tenths, seen from the
+median. Each quantile is shrunk, with the weight of ``min_rows`` rows, to that of the language, and this to
+that of all rows. A join on (lang, source) applies the fences. No text passes or fails by a fixed value.
 
 Null and empty texts have no words and fail the base rules. Null languages and sources form groups.
 Repeated rows are judged each. Other columns pass through ``filter_documents`` unchanged.
@@ -33,16 +34,18 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 WINDOW = 8
 
-# measure that is a share -> its count, of what, and how much one event counts; these have no lowest value
-EVENT: Mapping[str, tuple[str, str, int]] = {
-    "symbol_share": ("n_symbols", "word_chars", 1),
-    "dup_line_share": ("n_dup_lines", "n_lines", 1),
-    "repeat_share": ("n_repeat_words", "n_words", WINDOW),
+# measure -> inner and outer levels of its upper tail; shares have no lowest value
+LEVELS: Mapping[str, tuple[float, float]] = {
+    "symbol_share": (0.9, 0.99),
+    "mean_word": (0.5, 0.9),
+    "dup_line_share": (0.9, 0.99),
+    "repeat_share": (0.9, 0.99),
 }
-# A fence is this many times the distance from the median to the quartile on its side away from the median.
-REACH = 6.0
-# That distance counts as this part of the median at least, as sketches don't resolve less.
-LEAST = 0.1
+TWO_SIDED = ("mean_word",)
+# A fence lies this many times the distance between the two quantiles beyond the outer one.
+REACH = 2.0
+# Rows that the shrinking target of a group's quantiles counts for.
+SHRINK = 200
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)]
@@ -121,56 +124,57 @@ def value_of(bucket: Column) -> Column:
 def sketch(counts: DataFrame) -> DataFrame:
     """lang, source, measure, bucket, n: one row per bucket in use. Sketches of two tables merge by adding n."""
     pairs = F.array(*[F.struct(F.lit(m).alias("measure"), bucket_of(v).alias("bucket")) for m, v in measures().items()])
-    flat = counts.select("lang", "source", F.explode(pairs).alias("m")).select("lang", "source", "m.measure", "m.bucket")
+    passing = counts.where(~base_failed())
+    flat = passing.select("lang", "source", F.explode(pairs).alias("m")).select("lang", "source", "m.measure", "m.bucket")
     return flat.groupBy("lang", "source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(sketches: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """keys, measure, ``prefix`` rows and the three quartiles; a group has as many rows as buckets in use."""
+def _quantiles(sketches: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """keys, measure, ``prefix`` rows, and quantiles: upper inner and outer, lower outer; a group has as many rows as buckets in use."""
     merged = sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     order = Window.partitionBy(*keys, "measure").orderBy("bucket")
     group = Window.partitionBy(*keys, "measure")
     run = merged.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(group)})
-    at = {q: F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("bucket"))) for q, share in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
+    inner, outer = (F.element_at(F.create_map(*[F.lit(x) for m, q in LEVELS.items() for x in (m, q[k])]), F.col("measure")) for k in (0, 1))
+    at = {q: F.min(F.when(F.col("upto") >= F.col("all") * level, F.col("bucket"))) for q, level in (("in", inner), ("out", outer), ("low", 1 - outer))}
     return run.groupBy(*keys, "measure").agg(F.max("all").alias(f"{prefix}n"), *[value_of(c).alias(prefix + q) for q, c in at.items()])
 
 
-def thresholds(sketches: DataFrame, min_rows: int = 200, reach: float = REACH) -> DataFrame:
-    """lang, source, and a median, lowest and highest value for each measure (``mid_``, ``low_``, ``high_``)."""
-    own = _quartiles(sketches, ["lang", "source"], "s_")
-    of_lang = _quartiles(sketches, ["lang"], "l_")
-    of_all = _quartiles(sketches, [], "a_")
+def thresholds(sketches: DataFrame, min_rows: int = SHRINK, reach: float = REACH) -> DataFrame:
+    """lang, source, and a lowest and highest value for each measure (``low_``, ``high_``)."""
+    own = _quantiles(sketches, ["lang", "source"], "s_")
+    of_lang = _quantiles(sketches, ["lang"], "l_")
+    of_all = _quantiles(sketches, [], "a_")
     both = null_safe_join(null_safe_join(own, of_lang, ["lang", "measure"]), of_all, ["measure"])
-    q1, q2, q3 = (
-        F.when(F.col("s_n") >= min_rows, F.col(f"s_{q}")).when(F.col("l_n") >= min_rows, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-        for q in ("q1", "q2", "q3")
-    )
-    below, above = (F.greatest(distance, LEAST * q2) for distance in (q2 - q1, q3 - q2))
-    fences = both.select("lang", "source", "measure", q2.alias("mid"), (q2 - reach * below).alias("low"), (q2 + reach * above).alias("high"))
-    columns = [F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{c}_{m}") for m in measures() for c in ("mid", "low", "high")]
+
+    def shrunk(q: str) -> Column:
+        lang = (F.col("l_n") * F.col(f"l_{q}") + min_rows * F.col(f"a_{q}")) / (F.col("l_n") + min_rows)
+        return (F.col("s_n") * F.col(f"s_{q}") + min_rows * lang) / (F.col("s_n") + min_rows)
+
+    inner, outer, low = shrunk("in"), shrunk("out"), shrunk("low")
+    fences = both.select("lang", "source", "measure", (low - reach * (inner - low)).alias("low"), (outer + reach * (outer - inner)).alias("high"))
+    columns = [F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{c}_{m}") for m in measures() for c in ("low", "high")]
     return fences.groupBy("lang", "source").agg(*columns)
 
 
-def within(measure: str, value: Column, reach: float) -> Column:
-    """Whether a row's value lies inside its fences."""
-    below = value <= F.col(f"high_{measure}")
-    if measure not in EVENT:
-        return below & (value >= F.col(f"low_{measure}"))
-    count, of, event = EVENT[measure]
-    return below | (F.col(count) <= F.col(f"mid_{measure}") * F.col(of) + reach * event)
+def within(measure: str, value: Column) -> Column:
+    """Whether a row's value lies inside its fences, as far as the sketch resolves values."""
+    below = value <= F.col(f"high_{measure}") * (1 + ACCURACY)
+    return below & (value >= F.col(f"low_{measure}") * (1 - ACCURACY)) if measure in TWO_SIDED else below
 
 
-def judge(counts: DataFrame, min_rows: int = 200, reach: float = REACH) -> DataFrame:
+def judge(counts: DataFrame, min_rows: int = SHRINK, reach: float = REACH) -> DataFrame:
     """``counts`` (a written table of ``text_counts`` with lang and source) with ``base_failed`` and ``kept``."""
     limits = thresholds(sketch(counts), min_rows, reach)
-    joined = null_safe_join(counts, limits, ["lang", "source"])
+    joined = null_safe_join(counts, limits, ["lang", "source"])  # no text of a group passes the base rules: no fences
     inside = F.lit(True)
     for m, value in measures().items():
-        inside = inside & within(m, value, reach)
-    return joined.select(*[F.col(f"`{c}`") for c in counts.columns], base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
+        inside = inside & within(m, value)
+    kept = ~base_failed() & F.coalesce(inside, F.lit(False))
+    return joined.select(*[F.col(f"`{c}`") for c in counts.columns], base_failed().alias("base_failed"), kept.alias("kept"))
 
 
-def filter_documents(df: DataFrame, ids: tuple[str, ...] = ("doc_id",), min_rows: int = 200, reach: float = REACH) -> DataFrame:
+def filter_documents(df: DataFrame, ids: tuple[str, ...] = ("doc_id",), min_rows: int = SHRINK, reach: float = REACH) -> DataFrame:
     """The rows of ``df`` whose text passes; rows of equal ``ids``, lang, source and text have equal verdicts.
 
     The verdicts of rejected documents are joined to the texts by ``ids`` and the text's digest.
