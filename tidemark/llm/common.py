@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -22,6 +23,28 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+_DROPPED: list[Callable[[], None]] = []
+
+
+def at_task_end(drop: Callable[[], None]) -> Callable[[], None]:
+    """Registers what a module frees when a Python task ends."""
+    _DROPPED.append(drop)
+    return drop
+
+
+def released(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``rows``; when they end, memory goes back to the system, as Spark reuses a worker for tasks of later stages."""
+    try:
+        yield from rows
+    finally:
+        for drop in _DROPPED:
+            drop()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in the GNU library
+        if trim is not None:
+            trim(0)
+
+
 def map_slices(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch | None],
@@ -37,7 +60,7 @@ def map_slices(
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def free_name(taken: Sequence[str], name: str) -> str:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import released
+
 # Bytes of records that a map task holds before it ships them, so its memory is bounded whatever its input.
 HELD = 24_000_000
 
@@ -78,7 +80,7 @@ def ship(
         if held:
             yield from packed(held)
 
-    return df.mapInArrow(run, "cell int, records binary")
+    return df.mapInArrow(lambda batches: released(run(batches)), "cell int, records binary")
 
 
 def gather(
@@ -109,4 +111,4 @@ def gather(
 
     spark = blobs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return blobs.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(run, schema)
+    return blobs.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(lambda batches: released(run(batches)), schema)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..plans.session import materialize
 from .bitmap import bitmap, with_flag
-from .common import free_name, map_slices
+from .common import free_name, map_slices, released
 from .components import components
 from .exchange import cells_for, gather, hashed, ship
 from .shingles import shingle_sets
@@ -100,7 +100,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("tag"))
-    return materialize(rows.mapInArrow(run, "doc long, n long, cls long, tag long, piece int, counts binary"), "scan")
+    return materialize(rows.mapInArrow(lambda batches: released(run(batches)), "doc long, n long, cls long, tag long, piece int, counts binary"), "scan")
 
 
 def order_levels(scanned: DataFrame) -> tuple[np.ndarray, int]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import materialize
-from .common import SLICE_ROWS, buckets_for, free_name, map_slices, ranked_in
+from .common import SLICE_ROWS, buckets_for, free_name, map_slices, ranked_in, released
 
 CAPACITY = 2048
 # Parts that a task's memo holds, twice over; the memo goes when the task ends, so later stages have the worker's memory.
@@ -284,7 +284,7 @@ def token_pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
 
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(lambda batches: released(run(batches)), f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, digest: Column | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from .common import at_task_end
 from .exchange import hashed
 
 SHINGLE = 5
@@ -27,7 +28,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the base and of its inverse, kept as long as they suffice."""
+    """Powers of the base and of its inverse, kept as long as they suffice and the task runs."""
 
     up = down = np.zeros(0, np.uint64)
 
@@ -41,6 +42,13 @@ class Powers:
             cls.up, cls.down = up, down
         return cls.up[:n], cls.down[:n]
 
+    @classmethod
+    def drop(cls) -> None:
+        cls.up = cls.down = np.zeros(0, np.uint64)
+
+
+at_task_end(Powers.drop)
+
 
 def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, text after text, and the index where each text's words start (one more than texts)."""
