@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import filters, rolling
 from ..operators.features import LAGS, WINDOWS
 from ..operators.split import look_back_windows, mark_split, scale_column, split_report, unscale
-from ..plans.positions import running_sums
+from ..plans.positions import DAY, Layout, running_sums
+from ..plans.sliding import STATS, sliding
 from .base import DAILY, OFF_TIES, HOURLY_SQL, MINUTELY_SQL, USER_HOURLY_SQL, WEEKLY, features, hourly, longs, minutely, rounded, user_hourly
 
 
@@ -223,7 +224,35 @@ PANEL_SCALE_SQL = USER_HOURLY_SQL + """, b AS (SELECT user_id, min(power) AS lo,
 SELECT user_id, ts, round((power - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 6) AS scaled FROM user_hourly JOIN b USING (user_id)"""
 
 
+def sliding_day(spark, d):
+    """The last 1,440 rows of a minutely series, in blocks of 512."""
+    layout = Layout("sliced", DAY, chunk_rows=512)
+    out = sliding(minutely(spark, d).select("ts", "power"), "power", 1_440, layout=layout)
+    return rounded(out, "power", *[f"sliding_{s}_1440" for s in STATS], shift=OFF_TIES)
+
+
+SLIDING_DAY_SQL = MINUTELY_SQL + f" SELECT ts, round(power + {OFF_TIES}, 6) AS power, " + ", ".join(
+    f"round({_full(s, 'power', '1440 PRECEDING AND 1 PRECEDING', 1440)} + {OFF_TIES}, 6) AS sliding_{s}_1440" for s in STATS
+) + " FROM minutely"
+
+
+def sliding_panel(spark, d):
+    """The last week of hours of each user, with the current one, as soon as two values are there."""
+    layout = Layout("sliced", 7 * DAY, chunk_rows=50)
+    rows = user_hourly(spark, d).select("user_id", "ts", "power")
+    out = sliding(rows, "power", 168, include_current=True, min_values=2, keys=["user_id"], layout=layout)
+    return rounded(out, "power", *[f"sliding_{s}_168" for s in STATS], shift=OFF_TIES)
+
+
+SLIDING_PANEL_SQL = USER_HOURLY_SQL + f" SELECT user_id, ts, round(power + {OFF_TIES}, 6) AS power, " + ", ".join(
+    f"round(CASE WHEN count(power) OVER w >= 2 THEN {fn}(power) OVER w END + {OFF_TIES}, 6) AS sliding_{s}_168"
+    for s, fn in (("mean", "avg"), ("std", "stddev_samp"), ("max", "max"), ("min", "min"))
+) + " FROM user_hourly WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)"
+
+
 QUERIES = {
+    "sliding_day": (sliding_day, SLIDING_DAY_SQL),
+    "sliding_panel": (sliding_panel, SLIDING_PANEL_SQL),
     "positions": (positions, POSITIONS_SQL),
     "lags": (lags, LAGS_SQL),
     "trailing_stats": (trailing, TRAILING_SQL),
