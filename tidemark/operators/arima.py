@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import non_negative
-from ..plans.joins import null_safe_join
-from ..plans.positions import Frames, Layout, add_positions, apply_windows, running_sums
+from ..plans.joins import null_safe_join, with_group_stats
+from ..plans.positions import Frames, Layout, add_positions, apply_windows, halo_chunks, resolve, running_sums
+from ..plans.recurrence import linear_recurrence
+from ..plans.session import materialize
 from .filters import last_rows
 from .linear import gram, solve, unpack
 from .split import mark_split
@@ -55,6 +57,76 @@ def _key_schema(df: DataFrame, keys: Sequence[str], extra: str) -> T.StructType:
     return out
 
 
+def _lag_sums(y: np.ndarray, first: int, max_lag: int) -> np.ndarray:
+    """Sums over the rows from ``first`` on: of d[t] d[t-j], y[t-1] d[t-j] and d[t-j] for j up to ``max_lag``, of y[t-1] and its square."""
+    d = np.diff(y, prepend=np.nan)
+    now, before, end = d[first:], y[first - 1 : -1], len(y)
+    lagged = [d[first - j : end - j] for j in range(max_lag + 1)]
+    return np.array([*(now @ x for x in lagged), *(before @ x for x in lagged), *(x.sum() for x in lagged), before.sum(), before @ before])
+
+
+def _lag_gram(sums: np.ndarray, head: np.ndarray, tail: np.ndarray, max_lag: int, rows: int) -> np.ndarray:
+    """Cross products of 1, y[t-1], d[t-1] to d[t-max_lag], d[t] over the last ``rows`` rows.
+
+    A product of two lagged differences is that of the two differences a row later but for one row at either
+    end, so the first row of the matrix and the differences at both ends (``head`` from the second value on,
+    ``tail`` from the last one back) give all others.
+    """
+    p = max_lag
+    products, levels, plain = sums[: p + 1], sums[p + 1 : 2 * p + 2], sums[2 * p + 2 : 3 * p + 3]
+    g = np.zeros((p + 1, p + 1))
+    g[0] = products
+    for i in range(p):  # d[p-i] d[p-j] enters, d[n-1-i] d[n-1-j] leaves
+        j = np.arange(i, p)
+        g[i + 1, i + 1 :] = g[i, i:p] + head[p - 1 - i] * head[p - 1 - j] - tail[i] * tail[j]
+    g = np.triu(g) + np.triu(g, 1).T
+    order = np.r_[1 : p + 1, 0]
+    m = np.zeros((p + 3, p + 3))
+    m[2:, 2:] = g[np.ix_(order, order)]
+    m[0, 2:] = m[2:, 0] = plain[order]
+    m[1, 2:] = m[2:, 1] = levels[order]
+    m[0, 0], m[0, 1], m[1, 0], m[1, 1] = rows, sums[-2], sums[-2], sums[-1]
+    return m
+
+
+def _best_order(m: np.ndarray, rows: int, max_lag: int) -> int:
+    """Lag order of the least AIC: one Cholesky factor holds the regressions of all orders."""
+    try:
+        lower = np.linalg.cholesky(m[:-1, :-1])
+        explained = np.cumsum(np.linalg.solve(lower, m[:-1, -1]) ** 2)
+    except np.linalg.LinAlgError:  # dependent regressors: each order by itself
+        explained = np.array([solve(m[:q, :q], m[:q, -1]) @ m[:q, -1] for q in range(1, max_lag + 3)])
+    best, order = math.inf, 0
+    for lag in range(max_lag + 1):
+        q = lag + 2
+        if rows <= q:
+            break
+        aic = rows * math.log(max(m[-1, -1] - explained[q - 1], 1e-300) / rows) + 2 * q
+        if aic < best - 1e-12:
+            best, order = aic, lag
+    return order
+
+
+def _adf_of(sums: np.ndarray, head: np.ndarray, tail: np.ndarray, max_lag: int, n: int) -> tuple[float, int, int]:
+    """Statistic, lag order and rows used, from the sums and the values at both ends of a series of ``n`` values."""
+    rows = n - max_lag - 1
+    d = np.diff(head)
+    m = _lag_gram(sums, d, np.diff(tail)[::-1], max_lag, rows)
+    order = _best_order(m, rows, max_lag)
+    q = order + 2
+    m = m[np.ix_(keep := np.r_[0:q, -1], keep)]
+    for t in range(order + 1, max_lag + 1):  # rows that a lower order can use, too; all of them at the head
+        x = np.r_[1.0, head[t - 1], d[t - 1 - order : t - 1][::-1], d[t - 1]]
+        m = m + np.outer(x, x)
+    rows += max_lag - order
+    if rows <= q:
+        return float("nan"), order, rows
+    beta = solve(m[:q, :q], m[:q, q])
+    rss = max(m[q, q] - beta @ m[:q, q], 0.0)
+    se = math.sqrt(max(rss / (rows - q) * np.linalg.pinv(m[:q, :q])[1, 1], 0.0))
+    return (beta[1] / se if se > 0 else float("nan")), order, rows
+
+
 def adf_test(
     df: DataFrame,
     value: str,
@@ -67,63 +139,47 @@ def adf_test(
 ) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant; lag order by AIC: one row per series.
 
-    Lagged differences are one ordered pass, their cross products one aggregate; only matrices of
-    the size of ``max_lag`` are solved. ``default_max_lag`` gives the usual bound.
+    One pass: a chunk with its ``max_lag + 1`` rows before gives three sums a lag, so work and plan grow with
+    ``max_lag``, not with its square. These and the values at both ends of a series make its cross products for
+    every order. ``default_max_lag`` gives the usual bound. Series without a row behind ``max_lag`` + 1 others give none.
     """
     base = df.select(*keys, ts, F.col(value).cast("double").alias("y")).where(F.col("y").isNotNull())
-
-    def build(f: Frames) -> dict[str, Column]:
-        cols = {"y1": F.lag("y", 1).over(f.order)}
-        for k in range(max_lag + 1):
-            cols[f"d{k}"] = F.lag("y", k).over(f.order) - F.lag("y", k + 1).over(f.order)
-        return cols
-
-    lagged = apply_windows(base, build, before=max_lag + 1, keys=keys, ts=ts, layout=layout, keep_position=True)
-    columns = [F.lit(1.0), F.col("y1"), *[F.col(f"d{k}") for k in range(1, max_lag + 1)], F.col("d0")]
-    p = len(columns)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, m = int(pdf["n"].iloc[0]), unpack(pdf["products"].iloc[0], p)
-        best, order = math.inf, 0
-        for lag in range(max_lag + 1):
-            q = lag + 2
-            if n <= q:
-                break
-            beta = solve(m[:q, :q], m[:q, -1])
-            rss = max(m[-1, -1] - beta @ m[:q, -1], 1e-300)
-            aic = n * math.log(rss / n) + 2 * q
-            if aic < best - 1e-12:
-                best, order = aic, lag
-        return pdf[list(keys)].assign(order=order)
-
-    orders = _keyed_rows(choose, keys, gram(lagged, columns, keys), _key_schema(df, keys, "order int"))
-    if keys:
-        final = null_safe_join(lagged, orders, keys)
-    else:
-        final = lagged.withColumn("order", orders.scalar())
-    usable = final.where(F.col("rn") >= F.col("order") + 1)
-    chosen = [F.lit(1.0), F.col("y1")]
-    chosen += [F.when(F.col("order") >= k, F.col(f"d{k}")).otherwise(0.0) for k in range(1, max_lag + 1)]
-    grams = gram(usable.withColumn("__order", F.col("order")), [*chosen, F.col("d0"), F.col("__order")], keys)
+    layout = resolve(base, keys, ts, layout)
+    placed = add_positions(base, keys, ts, layout=layout, total="n")
+    # around its mean a series far from zero keeps its digits; with a constant in the regression nothing else changes
+    centred = with_group_stats(placed, keys, {"__mean": F.avg("y")}).withColumn("y", F.col("y") - F.col("__mean")).drop("__mean")
+    chunks = halo_chunks(centred, before=max_lag + 1, after=0, chunk_rows=layout.chunk_rows)
+    width = 3 * (max_lag + 1) + 2
+
+    def of_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        at, y, n = pdf["rn"].to_numpy(), pdf["y"].to_numpy(), int(pdf["n"].iloc[0])
+        mine = pdf["__own"].to_numpy(bool)
+        own = np.flatnonzero(mine & ((at <= max_lag) | (at >= n - max_lag - 1)))
+        first = max(int(np.argmax(mine)), max_lag + 1 - int(at[0])) if mine.any() else len(y)  # behind the end there may be a chunk of copies
+        sums = _lag_sums(y, first, max_lag) if first < len(y) else np.zeros(width)
+        where = np.r_[np.arange(width), width + at[own]]
+        return pdf[list(keys)].iloc[[0] * len(where)].assign(n=n, pos=where, v=np.r_[sums, y[own]])
+
+    parts = chunks.groupBy(*keys, "__chunk").applyInPandas(of_chunk, _key_schema(base, keys, "n long, pos long, v double"))
+    summed = parts.groupBy(*keys, "n", "pos").agg(F.sum("v").alias("v"))  # an end's value is in one chunk only
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, m = int(pdf["n"].iloc[0]), unpack(pdf["products"].iloc[0], p + 1)
-        order = int(round(m[0, -1] / n)) if n else 0
-        q = order + 2
-        tau = float("nan")
-        if n > q:
-            xx, xy = m[:q, :q], m[:q, p - 1]
-            beta = solve(xx, xy)
-            rss = max(m[p - 1, p - 1] - beta @ xy, 0.0)
-            se = math.sqrt(max(rss / (n - q) * np.linalg.pinv(xx)[1, 1], 0.0))
-            tau = beta[1] / se if se > 0 else float("nan")
+        n = int(pdf["n"].iloc[0])
+        one = pdf[list(keys)].iloc[:1]
+        if n < max_lag + 2:
+            return one.iloc[:0].assign(statistic=0.0, p_value=0.0, lags=0, rows=0, stationary=False)
+        v = pdf.set_index("pos")["v"]
+        head = v.loc[width + np.arange(max_lag + 1)].to_numpy()
+        tail = v.loc[width + np.arange(n - max_lag - 1, n)].to_numpy()
+        tau, order, rows = _adf_of(v.loc[np.arange(width)].to_numpy(), head, tail, max_lag, n)
         prob = adf_p_value(tau) if tau == tau else None
-        return pdf[list(keys)].assign(
-            statistic=None if tau != tau else tau, p_value=prob, lags=order, rows=n, stationary=bool(prob is not None and prob < level)
+        return one.assign(
+            statistic=None if tau != tau else tau, p_value=prob, lags=order, rows=rows, stationary=bool(prob is not None and prob < level)
         )
 
     schema = _key_schema(df, keys, "statistic double, p_value double, lags int, rows long, stationary boolean")
-    return _keyed_rows(test, keys, grams, schema)
+    return _keyed_rows(test, keys, summed, schema)
 
 
 def default_max_lag(n: int) -> int:
@@ -206,6 +262,66 @@ def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str], columns: Seque
     return out
 
 
+def moving_average_residuals(
+    df: DataFrame, signal: Column, theta: Column, *, name: str = "e", previous: str | None = None, keys: Sequence[str] = (),
+    ts: str = "ts", layout: Layout | None = None, position: str | None = None,
+) -> DataFrame:
+    """Residuals ``e[t] = signal[t] - theta * e[t-1]`` of a whole series, 0 before its first row; rows without a signal pass them on."""
+    return linear_recurrence(df, -theta, signal, name=name, previous=previous, keys=keys, ts=ts, layout=layout, position=position)
+
+
+def fit_sarima_series(
+    df: DataFrame, value: str, *, rounds: int = 4, keys: Sequence[str] = (), ts: str = "ts", layout: Layout | None = None
+) -> DataFrame:
+    """``coef`` (lags 1, 24, 25, then the moving average), ``sigma2`` and ``rows`` from every row of each series.
+
+    Starts as ``fit_sarima`` and then repeats: residuals by the model's own recursion over the whole series, and
+    the regression on lags and the residual before. No series gathers in a task; what is solved is 4 by 4.
+    """
+    base = df.select(*keys, ts, F.col(value).cast("double").alias("y")).where(F.col("y").isNotNull())
+    wanted = sorted({0, 1, *LONG_LAGS, *(k + 1 for k in LONG_LAGS), *FINAL_LAGS})
+
+    def build(f: Frames) -> dict[str, Column]:
+        lag = lambda k: F.lag("y", k).over(f.order) if k else F.col("y")
+        return {f"l{k}": (lag(k) - lag(k + 1)) - (lag(k + SEASON) - lag(k + SEASON + 1)) for k in wanted}
+
+    reach = max(wanted) + SEASON + 1
+    windows = apply_windows(base, build, before=reach, keys=keys, ts=ts, layout=layout, keep_position=True)
+    lagged = materialize(windows, "lagged")
+    p, q = len(LONG_LAGS), len(FINAL_LAGS) + 1
+
+    def solved(size: int):
+        def run(parts):
+            for pdf in parts:
+                fits = []
+                for n, products in zip(pdf["n"], pdf["products"]):
+                    m = unpack(products, size + 1)
+                    beta = solve(m[:size, :size], m[:size, size]) if n > size else np.zeros(size)
+                    fits.append((beta, float(m[size, size] - beta @ m[:size, size]) / n if n else None))
+                yield pdf[list(keys)].assign(coef=[f for f, _ in fits], sigma2=[s for _, s in fits], rows=pdf["n"].to_numpy())
+
+        return run
+
+    schema = _key_schema(lagged, keys, "coef array<double>, sigma2 double, rows long")
+    target = F.col("l0")
+    # a series shorter than the lags has no equation: its products are null
+    full = lambda columns: gram(rows_of, columns, keys).where(F.forall("products", lambda v: v.isNotNull()))
+    rows_of = lagged
+    long_ar = full([F.col(f"l{k}") for k in LONG_LAGS] + [target]).mapInPandas(solved(p), schema)
+    tagged = _attach(lagged, long_ar.withColumnRenamed("coef", "a"), keys, ["a"])
+    before = F.col("l1") - sum((F.col("a")[i] * F.col(f"l{k + 1}") for i, k in enumerate(LONG_LAGS)), F.lit(0.0))
+    rows_of = tagged.withColumn("e1", before)
+    regressors = [F.col(f"l{k}") for k in FINAL_LAGS] + [F.col("e1"), target]
+    fit = materialize(full(regressors).mapInPandas(solved(q), schema), "fit")
+    for _ in range(rounds):
+        known = _attach(lagged, fit.drop("sigma2", "rows"), keys, ["coef"])
+        signal = target - sum((F.col("coef")[i] * F.col(f"l{k}") for i, k in enumerate(FINAL_LAGS)), F.lit(0.0))
+        theta = F.greatest(F.lit(-0.99), F.least(F.lit(0.99), F.col("coef")[q - 1]))  # the recursion has to forget its start
+        rows_of = moving_average_residuals(known, signal, theta, previous="e1", keys=keys, ts=ts, layout=layout, position="rn")
+        fit = materialize(full(regressors).mapInPandas(solved(q), schema), "fit")
+    return fit
+
+
 def sarima_paths(fits: DataFrame, steps: int, keys: Sequence[str] = ()) -> DataFrame:
     """Forecast of ``steps`` values per series, integrated back to levels and clipped at zero."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from ..operators import arima, decompose, explain, forecast, isolation_forest, metrics, models
+from ..operators import arima, decompose, explain, forecast, isolation_forest, metrics, models, rolling
 from ..operators.anomaly import combined_anomalies
 from ..operators.features import add_components, feature_columns
 from ..operators.profile import forecast_summary
@@ -177,6 +177,27 @@ def sarima(spark, d):
     return rounded(out, "actual", "predicted")
 
 
+def residual_recursion(spark, d):
+    """Moving-average residuals of the hourly steps, in chunks of 512 rows."""
+    rows = rolling.difference(hourly(spark, d).select("ts", "power"), "power", seasonal=0, layout=WEEKLY)
+    return rounded(arima.moving_average_residuals(rows, F.col("diff"), F.lit(-0.6), layout=WEEKLY).select("ts", "e"), "e")
+
+
+RESIDUAL_RECURSION_SQL = HOURLY_SQL.replace("WITH", "WITH RECURSIVE", 1) + """,
+steps AS (SELECT ts, row_number() OVER (ORDER BY ts) AS rn, power - lag(power) OVER (ORDER BY ts) AS diff FROM hourly),
+run AS (SELECT rn, ts, coalesce(diff, 0.0) AS e FROM steps WHERE rn = 1
+  UNION ALL SELECT s.rn, s.ts, CASE WHEN s.diff IS NULL THEN r.e ELSE s.diff + 0.6 * r.e END FROM run r JOIN steps s ON s.rn = r.rn + 1)
+SELECT ts, round(e, 6) AS e FROM run"""
+
+
+def sarima_series_fit(spark, d):
+    """Coefficients from the whole minutely series."""
+    fit = arima.fit_sarima_series(minutely(spark, d), "power", layout=DAILY)
+    names = ("lag_1", "lag_24", "lag_25", "moving_average")
+    out = fit.select(*[F.col("coef")[i].alias(n) for i, n in enumerate(names)], "sigma2", "rows")
+    return rounded(out, *names, "sigma2")
+
+
 def walk_forward(spark, d):
     return rounded(arima.walk_forward(hourly(spark, d), "power", layout=WEEKLY), "actual", "predicted")
 
@@ -251,6 +272,8 @@ QUERIES = {
     "future_summary": (future_summary, None),
     "adf_test": (adf, None),
     "sarima_forecast": (sarima, None),
+    "residual_recursion": (residual_recursion, RESIDUAL_RECURSION_SQL),
+    "sarima_series_fit": (sarima_series_fit, None),
     "walk_forward": (walk_forward, WALK_FORWARD_SQL),
     "tree_shapley": (tree_shapley, None),
     "tree_shapley_check": (tree_shapley_check, None),
