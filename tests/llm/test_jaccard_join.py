@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join as jj
 from tidemark.llm.components import components
+from tidemark.llm.exchange import cell_of
 from tidemark.llm.shingles import shingle_sets
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -137,3 +138,64 @@ def test_keep_one_judges_rows(spark):
     assert kept.columns == df.columns
     got = collections.Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())
     assert got == {(1, a): 1, (5, b): 1, (7, c): 1, (None, "z y x w v u"): 1, (9, ""): 3}
+
+
+def test_parities_never_lose_a_link():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(2, 1500))
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        a, b = np.unique(base[: rng.integers(n // 2, n) + 1]), np.unique(np.r_[base[rng.integers(0, n // 5 + 1) :], rng.integers(0, 1 << 63, n // 8).astype(np.uint64)])
+        x, y = (jj.parity_of(s, jj.parity_bits(len(s))) for s in (a, b))
+        assert jj.folded(x).tobytes() == jj.parity_of(a)
+        assert jj.parity_allows(x, len(a), y, len(b)) or not jj.linked(a, b)
+    far = [np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64)) for _ in range(2)]
+    assert not jj.parity_allows(*[v for s in far for v in (jj.parity_of(s, jj.parity_bits(len(s))), len(s))])
+
+
+def test_lists_keep_every_possible_pair():
+    """Members leave only without a partner, a list of two is a pair, and a pair of many lists is found in few cells."""
+    rng = np.random.default_rng(7)
+    records = np.empty(3000, jj.ENTRY)
+    records["key"] = rng.integers(0, 1 << 63, 400).astype(np.uint64)[rng.integers(0, 400, 3000) * rng.integers(0, 2, 3000)]
+    records["cls"] = rng.integers(0, 90, 3000)
+    records["n"] = 40 + records["cls"] // 2
+    records["pos"] = rng.integers(0, 14, 3000)
+
+    def possible(r):
+        order = r[np.lexsort((r["pos"], r["cls"], r["n"], r["key"]))]
+        order = order[np.r_[True, (order["key"][1:] != order["key"][:-1]) | (order["cls"][1:] != order["cls"][:-1])]]
+        found = set()
+        for key in np.unique(order["key"]):
+            own = order[order["key"] == key]
+            i, j = np.nonzero(jj._possible(own[:, None], own[None, :]))
+            found |= {tuple(p) for p in jj._pair_codes(own[i], own[j]).tolist()}
+        return found
+
+    rest, size, pairs = jj.useful_lists(records)
+    assert possible(rest) | {tuple(p) for p in pairs.tolist()} == possible(records) and len(pairs) and (size > 2).all()
+    family = np.empty(60 * 5, jj.ENTRY)  # five sets that share sixty elements
+    family["key"], family["cls"] = np.repeat(rng.integers(0, 1 << 63, 60).astype(np.uint64), 5), np.tile(np.arange(5), 60)
+    family["n"], family["pos"] = 400, 7
+    rest, _, _ = jj.useful_lists(family)
+    assert len(np.unique(rest["key"])) == 60 and len(np.unique(cell_of(rest["key"], 256))) == 1
+
+
+def test_sets_that_share_little_are_not_written(spark, monkeypatch):
+    """Texts with some shingles in common, but no links: parities settle them, no set is shuffled or written."""
+    rng = random.Random(8)
+    passages = [" ".join(f"p{k}_{i}" for i in range(9)) for k in range(12)]
+    rows = [(i, " ".join([*(f"x{rng.randrange(10**9)}" for _ in range(60)), passages[i % 12], *(f"y{rng.randrange(10**9)}" for _ in range(20))])) for i in range(90)]
+    rows += [(1000, " ".join(f"z{i}" for i in range(80))), (1001, " ".join(f"z{i}" for i in range(81)))]
+    written, write = [], jj.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "sets":
+            written.append(out.select("cls").distinct().count())
+        return out
+
+    monkeypatch.setattr(jj, "materialize", counted)
+    out = {r.doc_id: r.component_id for r in jj.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert out == {i: i for i, _ in rows} | {1001: 1000}
+    assert sum(written) <= 10  # those of the one link, and few that parities can't tell
